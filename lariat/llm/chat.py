@@ -94,8 +94,8 @@ def paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     out = leaves.select("tree", F.col("message").alias("leaf"), F.lit(0).cast("bigint").alias("steps"), "message")
     for k in reversed(range(len(jumps))):
         more = out.join(jumps[k], ["tree", "message"]).select("tree", "leaf", (F.col("steps") + (1 << k)).alias("steps"), F.col("above").alias("message"))
-        out = out.unionByName(more)
-    out = cut(out)
+        out = cut(out.unionByName(more))  # else each round would hold the plan before it twice
+    out = out if jumps else cut(out)
     roots = out.join(own.where(F.col("parent").isNull()).select("tree", "message"), ["tree", "message"]).select("tree", "leaf")
     out = out.join(roots, ["tree", "leaf"], "left_semi")
     scored = out.join(own.select("tree", "message", "score"), ["tree", "message"])
