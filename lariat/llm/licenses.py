@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lariat.llm.common import text_key
 
-#: A word is a run of these characters once A to Z are lower-cased.
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-ANY_CASE_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: A word is a run of other characters than these, once A to Z are lower-cased: ASCII without digits and letters.
+#: Each is named by itself, as ranges in a class make the regular expressions ten times as slow.
+BREAKS = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum())
+WORD, GAP = f"[^{BREAKS}]+", f"[{BREAKS}]+"
 
 #: Label, keyword and words of the base phrases.
 BASE = (("mit", "mit", "under the mit license"), ("apache-2", "apache", "apache license version 2"), ("cc-by-nc", "cc", "cc by nc"))
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows and further columns do no harm.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.select("id", text_key().alias("tk"), F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("bigint").alias("n_words"))
+    own = own.select("id", text_key().alias("tk"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"))
     base, kept = F.col("base"), F.col("kept")
     joined = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     found = detections(docs, id_col, text_col).groupBy(F.col("id").alias("f_id"), F.col("tk").alias("f_tk")).agg(
