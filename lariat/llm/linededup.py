@@ -66,44 +66,77 @@ def _keys(edits: int) -> tuple[list[Column], list[Column]]:
     return index, probes
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression that is used twice would else be evaluated twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _agree(x: Column, y: Column) -> Column:
+    """How many characters two strings have in common at their begin, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(24))))
+    most = F.least(F.length(x), F.length(y))
+    longer = lambda at, s: F.when(at + s > most, at).when(F.substr(x, F.lit(1), at + s) == F.substr(y, F.lit(1), at + s), at + s).otherwise(at)
+    return F.aggregate(steps, F.lit(0), longer)
+
+
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether b, no shorter than a, becomes a by so many insertions, deletions and substitutions.
 
-    Hyyrö's recurrences over the diagonal band: bits of the vectors are the band's rows, bit
+    What both have in common at their ends is left off, as it does not count. For the rest,
+    Hyyrö's recurrences run over the diagonal band: bits of the vectors are the band's rows, bit
     `edits` + d is the cell of diagonal d, and each step of the fold takes one character of b.
-    The distance is followed along the band's last diagonal, and then along its last row.
+    The distance is followed along the band's last diagonal, where it never falls, and then along
+    its last row, where it falls by twice `edits` at most; beyond three times these the steps do nothing.
     """
     one = F.lit(1).cast("bigint")
     width = 2 * edits + 1
     full = F.lit((1 << width) - 1).cast("bigint")
     bit = lambda k: F.call_function("shiftleft", one, k)
-    x, y, m = F.split(a, ""), F.split(b, ""), F.length(a)
 
-    def step(own: Column, j: Column) -> Column:
+    def step(v: Column, own: Column, j: Column) -> Column:
         """Column j (from 1); row i = j + r - edits is bit r; rows outside of the pattern match nothing."""
+        x, y, m = v["x"], v["y"], v["m"]
         match = F.lit(0).cast("bigint")
         for r in range(width):
             i = j + (r - edits)
             match = match + F.when((i >= 1) & (i <= m) & (F.get(x, i - 1) == F.get(y, j - 1)), F.lit(1 << r).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        return _let(match, lambda found: advance(v, own, found, j))
+
+    def advance(v: Column, own: Column, match: Column, j: Column) -> Column:
         vp, vn = own["vp"], own["vn"]
         d0 = (((match.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(match).bitwiseOR(vn)).bitwiseAND(full)
+        return _let(d0, lambda d0: closed(v, own, d0, j))
+
+    def closed(v: Column, own: Column, d0: Column, j: Column) -> Column:
+        vp, vn = own["vp"], own["vn"]
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(full)
         hn = d0.bitwiseAND(vp)
         down = F.shiftright(d0, 1)
         last = F.lit(1 << (width - 1)).cast("bigint")
-        row = m - j + edits  # bit of the pattern's last row
+        row = (v["m"] - j + edits).cast("int")  # bit of the pattern's last row
         slide = F.when(d0.bitwiseAND(last) != 0, 0).otherwise(1)
-        flat = F.when(hp.bitwiseAND(bit(row.cast("int"))) != 0, 1).when(hn.bitwiseAND(bit(row.cast("int"))) != 0, -1).otherwise(0)
-        total = own["d"] + F.when(row >= width - 1, slide).otherwise(flat)
+        flat = F.when(hp.bitwiseAND(bit(row)) != 0, 1).when(hn.bitwiseAND(bit(row)) != 0, -1).otherwise(0)
         return F.struct(
             hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(full).alias("vp"),
             down.bitwiseAND(hp).alias("vn"),
-            total.cast("int").alias("d"),
+            (own["d"] + F.when(row >= width - 1, slide).otherwise(flat)).cast("int").alias("d"),
         )
 
-    start = F.struct(full.bitwiseAND(F.bitwise_not(F.lit((1 << edits) - 1).cast("bigint"))).alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.least(F.lit(edits), m).alias("d"))
-    end = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step)
-    return (F.length(b) - m <= edits) & (end["d"] <= edits)
+    def distance(v: Column) -> Column:
+        start = F.struct(full.bitwiseAND(F.bitwise_not(F.lit((1 << edits) - 1).cast("bigint"))).alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.least(F.lit(edits), v["m"]).alias("d"))
+        return F.aggregate(F.sequence(F.lit(1), v["n"]), start, lambda own, j: F.when(own["d"] > 3 * edits, own).otherwise(step(v, own, j)))["d"]
+
+    def rest(x: Column, y: Column, at: Column) -> tuple[Column, Column]:
+        return F.reverse(F.substr(x, at + 1)).alias("x"), F.reverse(F.substr(y, at + 1)).alias("y")
+
+    def cores(v: Column) -> Column:
+        return _let(F.struct(*rest(v["x"], v["y"], _agree(v["x"], v["y"]))), lambda w: _let(F.struct(*rest(w["x"], w["y"], _agree(w["x"], w["y"]))), told))
+
+    def told(v: Column) -> Column:
+        whole = F.struct(F.split(v["x"], "").alias("x"), F.split(v["y"], "").alias("y"), F.length(v["x"]).alias("m"), F.length(v["y"]).alias("n"))
+        return F.when(F.length(v["y"]) == 0, F.lit(0)).otherwise(_let(whole, distance))
+
+    return (F.length(b) - F.length(a) <= edits) & (_let(F.struct(a.alias("x"), b.alias("y")), cores) <= edits)
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -160,7 +193,8 @@ def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFram
     met = pairs.join(text.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     turned = F.length("x") > F.length("y")
     met = met.select("a", "b", F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
-    return met.where(F.length("y") - F.length("x") <= edits).where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(spread, "a", "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
