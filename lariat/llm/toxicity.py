@@ -70,7 +70,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float = 20.0, ridge: float = 2e-3, steps: int = 400, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float = 20.0, ridge: float = 2e-3, steps: int = 200, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression.
 
     change: for each sentence with identity terms its features less those of its counterfactual;
@@ -79,19 +79,19 @@ def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float = 20
     """
     n, width = x.shape
     share = (y.sum() + 1) / (len(y) + 2)
-    w, b = np.zeros(width), float(np.log(share / (1 - share)))
+    w, b = np.zeros(width, np.float32), float(np.log(share / (1 - share)))  # as x: else each product would copy it
     if not n or y.min() == y.max():
         return w, b
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
-        grad = x.T @ (p - y) / n + ridge * w
+        grad = x.T @ (p - y).astype(np.float32) / n + ridge * w
         if len(change):
             grad += 2 * fairness * change.T @ (change @ w) / len(change)
         g = np.append(grad, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate / (1 + 0.02 * t) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, float(b)
 
 
