@@ -29,23 +29,24 @@ from lariat.llm.common import cut, text_key
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters to a chunk.
 CHUNK = 1 << 15
-#: A worker forgets the units and pairs that it knows when they are so many.
-KNOWN = 400_000
+#: A worker forgets what it knows of one kind (pieces, pairs) when it is so much; words and their parts have bounds of their own.
+KNOWN = 250_000
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+_KNOWN: dict[bytes, Model] = {}
 State = tuple[int, str]
 Matrix = dict[State, dict[State, float]]
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    def __init__(self, make, most: int = KNOWN):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= KNOWN:
+        if len(self) >= self.most:
             self.clear()
         out = self[key] = self.make(key)
         return out
@@ -76,18 +77,35 @@ class Model:
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
-        self.chars = {c for p in self.ids for c in p}
         self._pairs, self._own = _Memo(lambda ab: self._merged(ab[0] + ab[1]) == [*ab]), _Memo(lambda p: self._merged(p) == [p])
-        self._units, self._words = _Memo(self._encode_unit), _Memo(lambda w: self._units[SPACE + w] if "\n" not in w else self._lines(SPACE + w))
+        self._table = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))), False)
+        self._table |= {p: len(p) == 1 or not self.merges or self._own[p] for p in self.ids}
+        proper = {p[:k] for p in self.ids for k in range(1, len(p))}
+        self._begins = _Memo(lambda g: (tuple(g[:k] for k in range(1, len(g) + 1) if k == 1 or self._table.get(g[:k])), len(g) == 4 and g in proper), 120_000)
+        self._bytes = _Memo(lambda p: np.array(self.piece_ids(p), "<i4").tobytes())
+        self._inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self._units, self._words = _Memo(self._encode_unit, 100_000), _Memo(self._word, 500_000)
+        self._plain = bool(self.prefix) and not any("\n" in p for p in self.ids)
+        self._newline = self._packed(["\n"])
 
-    def __reduce__(self):
-        return Model, (self.data,)
+    @classmethod
+    def known(cls, data: bytes) -> Model:
+        """The worker's own copy, which keeps what it has learnt from one task to the next."""
+        if data not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[data] = cls(data)
+        return _KNOWN[data]
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
         with open(path, "rb") as f:
             return cls(f.read())
 
+    def forget(self) -> None:
+        """Drops what a task has learnt of its words, so that waiting workers stay small."""
+        for known in (self._words, self._units, self._begins):
+            known.clear()
+
     def _merged(self, text: str) -> list[str]:
         """What the merges make of a short text: always the pair of the best score, of equals the leftmost."""
         out = list(text)
@@ -155,21 +173,66 @@ class Model:
         return max((x for x in table[place].items() if name in x[1]), key=lambda x: (x[1][name][0], len(x[0])))[0]
 
     def _encode_unit(self, unit: str) -> bytes:
+        if self.merges:
+            return self._packed(self._only_path(unit))
         table = self.spread(unit, {0: {"": {0: (0.0, None)}}}, len(unit))
         return self._packed(self.trace(table, len(unit), self.best(table, len(unit), 0), 0))
 
-    def _packed(self, pieces: list[str]) -> bytes:
-        return np.array([i for p in pieces for i in self.piece_ids(p)], "<i4").tobytes()
+    def _only_path(self, unit: str) -> list[str]:
+        """The path of weight 0 in a BPE model's lattice.
 
-    def _lines(self, text: str) -> bytes:
-        if "\n" in self.chars:
-            return self._units[text]
-        end = self._packed(["\n"])
-        return end.join(self._units[x] if x else b"" for x in text.split("\n"))
+        Each begin of a unit has one encoding, so one last piece: the first found that may follow
+        the last piece before it. The pieces of up to 4 characters that can begin at a place are
+        known from the 4 characters there.
+        """
+        if self._table.get(unit):
+            return [unit]
+        begins, table, pairs, size = self._begins, self._table, self._pairs, len(unit)
+        last: list[str | None] = [""] + [None] * size
+        for at in range(size):
+            before = last[at]
+            pieces, more = begins[unit[at : at + 4]]
+            if more:
+                pieces = list(pieces)
+                for end in range(at + 5, size + 1):
+                    if (whole := table.get(unit[at:end])) is None:
+                        break
+                    if whole:
+                        pieces.append(unit[at:end])
+            for piece in pieces:
+                end = at + len(piece)
+                if last[end] is None and (not at or pairs[before, piece]):
+                    last[end] = piece
+        out, end = [], size
+        while end:
+            out.append(last[end])
+            end -= len(last[end])
+        return out[::-1]
+
+    def _packed(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self._bytes.__getitem__, pieces))
+
+    def _word(self, word: str) -> bytes:
+        """The ids of what stands between two spaces, or of a line end and what follows it up to one."""
+        if word[:1] == "\n":
+            return self._newline + (self._split(word[1:]) if word[1:] else b"")
+        return self._split(SPACE + word)
+
+    def _split(self, unit: str) -> bytes:
+        """The ids of a unit, cut where two characters meet that do so in no piece; no piece reaches across."""
+        inside, at, out = self._inside, 0, []
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in inside:
+                out.append(self._part(unit[at:k]))
+                at = k
+        return b"".join([*out, self._part(unit[at:])]) if at else self._encode_unit(unit)
+
+    def _part(self, part: str) -> bytes:
+        return self._words[part[1:]] if part[0] == SPACE else self._units[part]
 
     def units(self, marked: str) -> bytes:
         """The ids of a text that begins and ends where units do, as 32-bit numbers."""
-        return b"".join([self._lines(u) if "\n" in u else self._units[u] for u in _UNIT.findall(marked)])
+        return b"".join(map(self._split, _UNIT.findall(marked)))
 
     def marked(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -178,8 +241,8 @@ class Model:
         """The ids of a whole text; none for an empty one."""
         if not text:
             return np.zeros(0, "<i4")
-        if self.prefix and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
-            return np.frombuffer(b"".join(map(self._words.__getitem__, text.split(" "))), "<i4")
+        if self._plain and text[0] != " " and text[-1] != " " and SPACE not in text and "  " not in text and " \n" not in text:
+            return np.frombuffer(b"".join(map(self._words.__getitem__, text.replace("\n", " \n").split(" "))), "<i4")
         return np.frombuffer(self.units(self.marked(text)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -206,8 +269,13 @@ class Model:
 
     def _borders(self, text: str, size: int) -> tuple[int, int] | None:
         """The first and the last place in a chunk at which a unit begins, beyond what a piece from before can reach."""
-        found = [m.start() for m in _BORDER.finditer(text[: size + 1], 1) if m.start() < size]
-        return (found[0], found[-1]) if found else None
+        first = _BORDER.search(text, 1, size)
+        if first is None:
+            return None
+        last = size - 1
+        while text[last] != SPACE or text[last - 1] == SPACE:
+            last -= 1
+        return first.start(), last
 
     def matrix(self, before: str, text: str, after: str) -> Matrix:
         """Best weights from the states at a chunk's begin to those at its end.
@@ -327,7 +395,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shape = f"id {kind}, ids array<int>, n_tokens bigint, round_trip boolean"
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(held.value)
+        model = Model.known(held.value)
         for batch in batches:
             got, back = [], []
             for x in batch.column(1):
@@ -337,9 +405,10 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             sizes = np.array([0, *map(len, got)])
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *got]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes[1:], pa.int64()), pa.array(back, pa.bool_())], names=["id", "ids", "n_tokens", "round_trip"])
+        model.forget()
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(held.value)
+        model = Model.known(held.value)
         for x in parts:
             got = [[dict(zip("axbyw", r, strict=True)) for r in _flat(model.matrix(*row))] for row in zip(x["before"], x["part"], x["after"], strict=True)]
             yield x[["id", "tk", "no"]].assign(m=got)
@@ -351,15 +420,16 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return x[["id", "tk", "no"]].assign(a=[p[0][0] for p in pairs], x=[p[0][1] for p in pairs], b=[p[1][0] for p in pairs], y=[p[1][1] for p in pairs])
 
     def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(held.value)
+        model = Model.known(held.value)
         for x in parts:
             got = [model.chunk(r.part, r.after, (int(r.a), r.x), (int(r.b), r.y)) for r in x.itertuples()]
             back = [b"".join(map(model.raw.__getitem__, g.tolist())) for g in got]
             yield x[["id", "tk", "no"]].assign(ids=got, raw=back)
+        model.forget()
 
     long = F.length("text") > chunk
     out = own.where(~long).mapInArrow(plain, shape)
-    giant = own.where(long).withColumn("tk", text_key())
+    giant = cut(own.where(long).withColumn("tk", text_key()))
     if giant.isEmpty():
         return out
     size, reach = max(chunk, model.longest + 1), model.longest
