@@ -81,7 +81,7 @@ class Model:
         self._table = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))), False)
         self._table |= {p: len(p) == 1 or not self.merges or self._own[p] for p in self.ids}
         proper = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self._begins = _Memo(lambda g: (tuple(g[:k] for k in range(1, len(g) + 1) if k == 1 or self._table.get(g[:k])), len(g) == 4 and g in proper), 120_000)
+        self._begins = _Memo(lambda g: (tuple(g[:k] for k in range(1, len(g) + 1) if k == 1 or self._table.get(g[:k])), len(g) == 4 and g in proper))
         self._bytes = _Memo(lambda p: np.array(self.piece_ids(p), "<i4").tobytes())
         self._inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._units, self._words = _Memo(self._encode_unit, 100_000), _Memo(self._word, 500_000)
@@ -103,7 +103,7 @@ class Model:
 
     def forget(self) -> None:
         """Drops what a task has learnt of its words, so that waiting workers stay small."""
-        for known in (self._words, self._units, self._begins):
+        for known in (self._words, self._units):
             known.clear()
 
     def _merged(self, text: str) -> list[str]:
