@@ -9,15 +9,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import cut
+from lariat.llm.common import cut, small_side
 
 #: A run of so many tokens that also stands on another page of its host is boilerplate.
 RUN = 6
 #: Pages of a host whose streams one task sorts together; larger hosts are dealt out by hash.
 TOGETHER = 500
+#: The bitmap of boilerplate runs has 2 to this power words of 64 bits at most.
+SIEVE = 18
+#: Rows of one or two numbers that may be broadcast.
+SMALL = 400_000
 
 #: Fixed values of HTML.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "head")
@@ -179,127 +184,197 @@ def repeats(streams: list[list[int]], run: int = RUN) -> list[np.ndarray]:
     return [found[a : b - 1] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def unique_blocks(texts: list[str], starts: np.ndarray, run: int = RUN) -> list[str]:
-    """The blocks that are not covered by repeated runs.
+def covered(starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Tokens that lie in a run of that length which begins at a marked place."""
+    out = np.zeros(len(starts), bool)
+    for k in range(min(run, len(starts))):
+        out[k:] |= starts[: len(starts) - k]
+    return out
 
-    A block goes if repeated runs cover all of its tokens; a run may reach over the borders of
-    blocks. So a short line goes only together with its neighbours.
-    """
-    covered = np.zeros(len(starts), bool)
+
+def covered_blocks(sizes: list[int], tokens: np.ndarray) -> np.ndarray:
+    """For blocks of so many tokens, whether all of a block's are covered; a short one can only be so together with its neighbours."""
+    edges = np.cumsum([0, *sizes])
+    free = np.concatenate([[0], np.cumsum(~tokens[: edges[-1]])])
+    return free[edges[1:]] == free[edges[:-1]]
+
+
+class _Hashes(dict):
+    """Hashes of tokens; those of a worker's most recent ones are kept."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 250_000:
+            self.clear()
+        out = self[token] = xxhash.xxh64_intdigest(token)
+        return out
+
+
+def run_hashes(tokens: list[str], run: int, site: str, known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each run of that length, its host mixed in."""
+    n = len(tokens) - run + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    own = np.fromiter((known[t] for t in tokens), np.uint64, len(tokens))
+    out = np.full(n, known[site], np.uint64)
     for k in range(run):
-        covered[k:] |= starts[: len(starts) - k]
-    out, at = [], 0
-    for text in texts:
-        n = len(text.split(" "))
-        if not covered[at : at + n].all():
-            out.append(text)
-        at += n
-    return out
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + own[k : k + n]
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-def _windows(tokens: list[str], run: int) -> list[str]:
-    return ["\x1f".join(tokens[i : i + run]) for i in range(len(tokens) - run + 1)]
+def _tokens(texts: list[str]) -> list[str]:
+    return " ".join(texts).split(" ") if texts else []
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, together: int = TOGETHER) -> DataFrame:
-    """(id, url, text, n_chars, covered) for each page, of whole pages.
+def _outside(main: list[str], rest: list[str], marked: bool) -> list[str]:
+    """The blocks of a page that aren't marked as an article's."""
+    return rest if marked else [*main, *rest]
 
-    A page with an article or main element gives the blocks in it that no element or sign leaves
-    out. Another page gives such blocks of the whole page, without those that runs of tokens
-    cover which also stand on another page of its host, be it in any block outside of articles.
-    covered: how many blocks went for that. Article text is never given up for being repeated, so
-    copies of an article keep it. A null page is empty; null urls are one host; repeated rows are
-    pages of their own.
 
-    A host's streams are dealt to tasks of about `together` pages. Each sorts the suffixes of its
-    share. Where a host has several shares, their distinct runs are counted over the shares, so
-    that the result does not depend on the dealing.
+def host_runs(pages: pd.DataFrame, run: int) -> pd.DataFrame:
+    """run, many: runs outside of articles on the pages of a host's share, and whether two of these pages have them.
+
+    Of a host with one share only runs of several pages matter; else all are told, to be counted over the shares.
+    """
+    site, shares, known = pages["host"].iloc[0], pages["shares"].iloc[0], _Hashes()
+    lists = [x.split(" ") for x in pages["said"]]
+    codes: dict[str, int] = {}
+    found = repeats([[codes.setdefault(t, len(codes)) for t in x] for x in lists], run)
+    hashes = [run_hashes(x, run, site, known) for x in lists]
+    many = np.concatenate([f[: len(h)] for f, h in zip(found, hashes, strict=True)])
+    every = np.concatenate(hashes)
+    if shares == 1:
+        every, many = every[many], many[many]
+    runs, at = np.unique(every, return_inverse=True)
+    told = np.zeros(len(runs), bool)
+    told[at[many]] = True
+    return pd.DataFrame({"run": runs, "many": told})
+
+
+class Sieve:
+    """A bitmap that has all runs of a set and few others; its size is bounded, whatever the set's."""
+
+    def __init__(self, runs: DataFrame, count: int):
+        self.words = 1 << max(8, min(SIEVE, (count // 4).bit_length()))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright("run", 40).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+        table = runs.groupBy(F.col("run").bitwiseAND(F.lit(self.words - 1).cast("bigint")).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # a row for each word at most
+        self.bits = np.zeros(self.words, np.int64)
+        self.bits[table["at"].to_numpy()] = table["bits"].to_numpy()
+
+    def has(self, runs: np.ndarray) -> np.ndarray:
+        return (self.bits[runs & (self.words - 1)] >> ((runs >> 40) & 63) & 1).astype(bool)
+
+
+def suspects(main: list[str], rest: list[str], marked: bool, site: str, sieve: Sieve, run: int, known: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Places and hashes of the runs that the sieve lets through and that may cover a block of main whole."""
+    tokens = _tokens(main if marked else [*main, *rest])
+    runs = run_hashes(tokens, run, site, known)
+    hit = sieve.has(runs)
+    if not hit.any():
+        return [], []
+    sizes = [x.count(" ") + 1 for x in main]
+    blocks_hit = covered_blocks(sizes, covered(np.concatenate([hit, np.zeros(run - 1, bool)]), run))
+    inside = np.concatenate([np.repeat(blocks_hit, sizes), np.zeros(len(tokens) - sum(sizes), bool)])
+    touch = np.logical_or.reduce([inside[k : k + len(runs)] for k in range(run)])
+    at = np.flatnonzero(hit & touch)
+    return at.tolist(), runs[at].tolist()
+
+
+def unique_blocks(texts: list[str], at: list[int], runs: list[int], found: set[int], run: int = RUN) -> list[str]:
+    """The blocks that the found ones among the runs at these places do not cover."""
+    sizes = [x.count(" ") + 1 for x in texts]
+    starts = np.zeros(sum(sizes), bool)
+    starts[[a for a, r in zip(at, runs, strict=True) if r in found and a < len(starts)]] = True
+    gone = covered_blocks(sizes, covered(starts, run))
+    return [t for t, g in zip(texts, gone, strict=True) if not g]
+
+
+def boilerplate(own: DataFrame, run: int, together: int) -> DataFrame:
+    """run: hashes of the runs that two pages of a host have outside of articles.
+
+    The streams of a host's pages are dealt to tasks of about `together` pages, each of which
+    sorts the suffixes of its share; where a host has several shares, their runs are counted over
+    the shares, so that the result does not depend on the dealing.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [blocks(x.as_py()) for x in batch.column(2)]
-            text = ["\n\n".join(x[0]) for x in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([x[2] for x in got], pa.bool_())], names=["id", "url", "text", "marked"])
+            yield pa.RecordBatch.from_arrays([pa.array([host(x.as_py()) for x in batch.column(0)], pa.string())], names=["host"])
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, url in zip(batch.column(2), batch.column(1), strict=True):
-                main, rest, marked = blocks(x.as_py())
-                rows.append((host(url.as_py()), None if marked else main, rest))
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], lists), pa.array([r[2] for r in rows], lists)],
-                names=["id", "url", "host", "main", "rest"],
-            )
-
-    done = own.mapInArrow(parsed, f"id {kind}, url string, text string, marked boolean").where("marked")
-    done = done.select("id", "url", "text", F.lit(0).cast("bigint").alias("covered"))
-    open_pages = own.mapInArrow(streams, f"id {kind}, url string, host string, main array<string>, rest array<string>")
-    waiting = open_pages.where(F.col("main").isNotNull()).select("host").distinct()
-    out = done
-    hosts = cut(waiting)
-    if not hosts.isEmpty():
-        out = done.unionByName(_cleaned(open_pages.join(hosts, "host", "left_semi"), kind, run, together))
-    return out.select("id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "covered")
+            said = [" ".join(_outside(*blocks(x.as_py()))) for x in batch.column(1)]
+            sites = [host(x.as_py()) for x in batch.column(0)]
+            out = pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), batch.column(2), pa.array(said, pa.string())], names=["host", "tk", "said"])
+            yield out.filter(pa.array([x.count(" ") + 1 >= run for x in said], pa.bool_()))
+
+    sizes = own.select("url").mapInArrow(hosts, "host string").groupBy("host").agg(F.ceil(F.count("*") / together).cast("int").alias("shares"))
+    large = cut(sizes.where("shares > 1"))
+    said = own.select("url", "html", "tk").mapInArrow(streams, "host string, tk bigint, said string")
+    said = said.join(small_side(large, SMALL), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    said = said.withColumn("share", F.pmod("tk", F.col("shares").cast("bigint")).cast("int"))
+    runs = said.groupBy("host", "share").applyInPandas(lambda x: host_runs(x, run), "run bigint, many boolean")
+    return cut(runs.groupBy("run").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("many or n > 1").select("run"))
 
 
-def _cleaned(rows: DataFrame, kind: str, run: int, together: int) -> DataFrame:
-    """The pages without a marked region of hosts that have such pages."""
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / together).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64("id", "url", F.to_json("main"), F.to_json("rest")), F.col("shares").cast("bigint")).cast("int")
-    rows = cut(rows.join(sizes, "host").withColumn("share", share).withColumn("row", F.monotonically_increasing_id()))
-
-    def tokens(x: pd.DataFrame) -> list[list[str]]:
-        return [[t for b in [*(m if m is not None else []), *r] for t in b.split(" ")] for m, r in zip(x["main"], x["rest"], strict=True)]
-
-    def coded(lists: list[list[str]]) -> list[list[int]]:
-        known: dict[str, int] = {}
-        return [[known.setdefault(t, len(known)) for t in x] for x in lists]
-
-    def runs(x: pd.DataFrame) -> pd.DataFrame:
-        """The distinct runs of a share."""
-        found = {w for t in tokens(x) for w in _windows(t, run)}
-        return pd.DataFrame({"host": x["host"].iloc[0], "run": sorted(found)})
-
-    several = rows.where("shares > 1")
-    shared = several.groupBy("host", "share").applyInPandas(runs, "host string, run string").select("host", F.xxhash64("run").alias("run"))
-    shared = shared.groupBy("host", "run").count().where("count > 1").select("host", "run")
-
-    def clean(x: pd.DataFrame, also: list[set[str]]) -> pd.DataFrame:
-        lists = tokens(x)
-        found = repeats(coded(lists), run)
-        texts, gone = [], []
-        for main, own, starts, more in zip(x["main"], lists, found, also, strict=True):
-            if main is None:
-                continue
-            for i, w in enumerate(_windows(own, run) if more else ()):
-                starts[i] |= w in more
-            kept = unique_blocks(list(main), starts, run)
-            texts.append("\n\n".join(kept))
-            gone.append(len(main) - len(kept))
-        mine = x[x["main"].notna()]
-        return pd.DataFrame({"id": mine["id"], "url": mine["url"], "text": texts, "covered": gone})
-
-    def single(x: pd.DataFrame) -> pd.DataFrame:
-        return clean(x, [set()] * len(x))
-
-    def joint(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.reset_index(drop=True)
-        return clean(x, [set(r) if r is not None else set() for r in x["runs"]])
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, together: int = TOGETHER) -> DataFrame:
+    """(id, url, text, n_chars, covered) for each page, of whole pages.
+
+    Marks (elements, and signs in their classes, ids and roles) leave blocks out; an article or
+    main element, where a page has one, leaves out all that is beside it. Of what remains a block
+    goes if boilerplate covers it: runs of tokens that two pages of its host have outside of
+    articles. Inside an article element such runs count only if the articles of two pages have
+    them too; so quotes of an article beside other articles, and copies of it, cost it nothing.
+    covered: how many blocks went for that. A null page is empty; null urls are one host; repeated
+    rows are pages of their own.
 
+    Articles are never shuffled: a bitmap of the runs goes to all tasks, and only pages of which
+    it lets through what would cover a block are held against the runs themselves.
+    """
+    kind = pages.schema[id_col].dataType.simpleString()
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    own = own.withColumn("tk", F.xxhash64("id", "url", "html"))
+    runs = boilerplate(own, run, together)
+    count = runs.count()
+    sieve = Sieve(runs, count) if count else None
+    held = own.sparkSession.sparkContext.broadcast(sieve)  # of bounded size
     shape = f"id {kind}, url string, text string, covered bigint"
-    out = rows.where("shares = 1").groupBy("host").applyInPandas(single, shape)
-    if several.isEmpty():
-        return out
-    # the runs that shares have in common reach the pages that have them, never a host's task as a whole
-    flat = F.flatten(F.array(F.coalesce("main", F.array().cast("array<string>")), "rest"))
-    words = several.where(F.col("main").isNotNull()).select("host", "row", F.split(F.array_join(flat, " "), " ").alias("t"))
-    windows = words.where(F.size("t") >= run).select("host", "row", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - (run - 1)), lambda i: F.array_join(F.slice("t", i, F.lit(run)), "\x1f"))).alias("w"))
-    windows = windows.select("host", "row", "w", F.xxhash64("w").alias("run"))
-    hit = windows.join(shared, ["host", "run"]).groupBy("row").agg(F.collect_set("w").alias("runs"))
-    return out.unionByName(several.join(hit, "row", "left").groupBy("host", "share").applyInPandas(joint, shape))
 
+    def parsed(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple]:
+        for row, (url, page) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            main, rest, marked = blocks(page.as_py())
+            at, found = suspects(main, rest, marked, host(url.as_py()), held.value, run, known) if held.value is not None and main else ([], [])
+            yield row, marked, main, at, found
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            got = [(row, "\n\n".join(main)) for row, _, main, at, _ in parsed(batch, known) if not at]
+            part = batch.take(pa.array([g[0] for g in got], pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[1] for g in got], pa.string()), pa.array([0] * len(got), pa.int64())], names=["id", "url", "text", "covered"])
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            got = [g for g in parsed(batch, known) if g[3]]
+            part = batch.take(pa.array([g[0] for g in got], pa.int64()))
+            kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            cols = [pa.array([g[k + 1] for g in got], kinds[k]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "url", "marked", "main", "at", "runs"])
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            main, *more = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            kept = [unique_blocks(m, a, r, set(f or ()), run) for m, a, r, f in zip(main, *more, strict=True)]
+            gone = [len(m) - len(k) for m, k in zip(main, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["\n\n".join(k) for k in kept], pa.string()), pa.array(gone, pa.int64())], names=["id", "url", "text", "covered"])
+
+    rows = own.select("id", "url", "html")
+    out = rows.mapInArrow(clear, shape)
+    if count:
+        open_pages = cut(rows.mapInArrow(doubtful, f"id {kind}, url string, marked boolean, main array<string>, at array<int>, runs array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+        if not open_pages.isEmpty():
+            met = open_pages.select("row", "marked", F.explode(F.array_distinct("runs")).alias("run")).join(small_side(runs, SMALL), "run")
+            inside = met.where("marked").groupBy("run").count().where("count > 1").select("run")
+            met = met.where("not marked").select("row", "run").unionByName(met.where("marked").join(small_side(inside, SMALL), "run").select("row", "run"))
+            out = out.unionByName(open_pages.join(met.groupBy("row").agg(F.collect_list("run").alias("found")), "row", "left").select("id", "url", "main", "at", "runs", "found").mapInArrow(cleaned, shape))
+    return out.select("id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "covered")
