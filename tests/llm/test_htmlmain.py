@@ -69,28 +69,12 @@ def test_hosts(spark):
     assert htmlmain.extract(pages.limit(0)).collect() == []
 
 
-def test_boilerplate_in_articles(spark):
-    """Only what stands in articles of two pages, and beside those of two, goes from an article."""
-    rnd = random.Random(3)
-    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    notice, quoted, shared = say(9), say(14), say(30)
-    rows, want = [], {}
-    for i in range(20):
-        own = [say(25), quoted if i == 0 else say(11), shared]
-        rows.append((i, "http://one.example/", page(f"<aside><p>{notice}</p><p>{quoted}</p></aside><article>" + "".join(f"<p>{x}</p>" for x in (own[0], notice, *own[1:])) + "</article>")))
-        want[i] = "\n\n".join(own)
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    for together in (500, 4):
-        got = htmlmain.extract(pages, together=together).collect()
-        assert {r.id: r.text for r in got} == want and all(r.covered == 1 for r in got)
-
-
-def test_sieve(spark):
-    rnd = random.Random(4)
-    runs = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
-    sieve = htmlmain.Sieve(spark.createDataFrame([(x,) for x in runs], "run bigint"), len(runs))
-    others = htmlmain.np.array([rnd.randrange(-(1 << 63), 1 << 63) for _ in range(3000)])
-    assert sieve.has(htmlmain.np.array(runs)).all() and sieve.has(others).mean() < 0.15
+def test_article_text_that_footers_repeat(spark):
+    """A sentence may stand in a host's footers and adverts, and in its articles too; there it stays."""
+    line = "one two three four five six seven eight"
+    body = f'<div class="ad">{line}</div><article><h1>{line}</h1><p>own</p><p>{line}</p></article><footer>{line}</footer>'
+    pages = spark.createDataFrame([(i, "http://one.example/", page(body)) for i in range(20)], "page_id bigint, url string, html string")
+    assert {r.text for r in htmlmain.extract(pages, together=4).collect()} == {f"{line}\n\nown\n\n{line}"}
 
 
 def test_query(spark, sf_dir):
