@@ -16,8 +16,8 @@ from lariat.llm.components import components
 
 #: Edits between two lines of a class.
 EDITS = 1
-#: Lines shorter than this always stay.
-SHORTEST = 20
+#: Lines shorter than this, blank ones, always stay.
+SHORTEST = 1
 #: Lines in an index bucket beyond which its lines are not paired but keyed by what one deletion leaves.
 CROWD = 256
 #: Rows of three numbers that may be broadcast.
@@ -25,7 +25,7 @@ SMALL = 400_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tk, no, line) with white space at both ends of a line left out; lines that are too short have no row."""
+    """(id, tk, no, line) with white space at both ends of a line left out; blank lines have no row."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.select("id", text_key().alias("tk"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     return own.select("id", "tk", "no", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).where(F.length("line") >= SHORTEST)
@@ -224,8 +224,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits
     """docs with the lines of dropped() taken out of their texts; all rows and columns stay.
 
     told names a column to add with what dropped() says, an empty list where nothing went. Null
-    texts stay null, empty ones empty; lines shorter than SHORTEST always stay, and so do the
-    lines' own spaces. Rows that agree in id and text are one document and keep the same lines.
+    texts stay null, empty ones empty; blank lines always stay, and so do the lines' own spaces. Rows that agree in id and text are one document and keep the same lines.
     """
     gone = dropped(docs.select(id_col, text_col), id_col, text_col, edits).select(F.col("id").alias(f"{OWN}id"), F.col("tk").alias(f"{OWN}tk"), F.col("gone").alias(f"{OWN}gone"))
     match = F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (text_key(text_col) == F.col(f"{OWN}tk"))

@@ -86,6 +86,22 @@ def test_odd_tables(spark):
     assert told[1] == [] and [tuple(x) for x in told[2]] == [(0, 1, 0), (1, 1, 0)]
 
 
+def test_short_lines(spark):
+    """Lines of every length count, within a document and across; blank lines stay."""
+    rows = [(1, "Ja.\n\nJa.\nNein"), (2, " Ja.\n\nq\nNeins"), (3, "q\n \nvielleicht"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup(docs).collect()}
+    assert got == {1: "Ja.\n\nNein", 2: "\nq", 3: " \nvielleicht", 4: None, 5: ""} == plain(rows, 1)
+
+
+def test_many_short_lines(spark):
+    """Crowded buckets of one to three characters, against all pairs."""
+    rnd = random.Random(5)
+    rows = [(i, "\n".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.choice([1, 2, 3, 7]))) for _ in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup(docs).collect()} == plain(rows, 1)
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = linededup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
