@@ -62,7 +62,7 @@ class Index:
     begin: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
     end: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
     longest: int = 0
-    parts: list[tuple[set, set]] = field(default_factory=list)
+    parts: list[tuple[set, set, set]] = field(default_factory=list)
 
     @classmethod
     def of(cls, rows: list[tuple[object, str]]) -> Index:
@@ -95,7 +95,7 @@ class Index:
         own.block, own.most, own.begin, own.end = (np.array(x) for x in zip(*table, strict=True))
         for _, text, _ in bags:
             question, answer = question_and_answer(text)
-            own.parts.append(tuple(shingles([own.terms[w] for w in x]) for x in (question, answer)))
+            own.parts.append(tuple(shingles([own.terms[w] for w in x]) for x in (question, answer, question + answer)))
         return own
 
     def rare(self, share: float = RETRIEVE) -> np.ndarray:
@@ -172,7 +172,9 @@ class Finder:
         """(place, score, share of the question, share of the answer) of each item, from the passage that has most of it.
 
         A passage is twice as long as the longest item and begins every such length, so that one
-        holds any item whole. An item is found if its score and both shares reach their bounds.
+        holds any item whole. An item is found if its score reaches its bound, and the share of its
+        shingles, or else both parts' shares, theirs: items need not have an answer of their own, and
+        one word takes much of a short last sentence. Parts may stand apart from each other.
         """
         if not self.index.ids:
             return []
@@ -186,8 +188,8 @@ class Finder:
             hit = self.index.wand(np.unique(part[part >= 0]), self.retrieve)
             own = {tuple(run[i : i + k]) for run in [part.tolist()] for k in range(1, SHINGLE + 1) for i in range(len(run) - k + 1)} if hit else set()
             for place, score in hit:
-                q, a = (len(x & own) / len(x) if x else 1.0 for x in self.index.parts[place])
-                if min(q, a) >= self.overlap and (place not in found or found[place][1:] < (score, q, a)):
+                q, a, whole = (len(x & own) / len(x) if x else 1.0 for x in self.index.parts[place])
+                if max(whole, min(q, a)) >= self.overlap and (place not in found or found[place][1:] < (score, q, a)):
                     found[place] = (place, score, q, a)
         return [found[p] for p in sorted(found)]
 

@@ -83,6 +83,19 @@ def test_near_copies_and_strangers():
     assert not find(" ".join(rnd.sample(item, 60)))  # the same words in another order
 
 
+def test_a_changed_word_anywhere():
+    """Each copy with one word changed that leaves 0.8 of the item's shingles is found, in a short last sentence too."""
+    rnd = random.Random(5)
+    item = [f"w{i}q" for i in range(40)]
+    find = decontam.Finder(decontam.Index.of([(1, " ".join(item[:32]) + ". " + " ".join(item[32:]) + ".")] + [(2 + i, text(rnd, 20)) for i in range(5)]))
+    whole = decontam.shingles(item)
+    for k in range(40):
+        changed = [*item[:k], "other", *item[k + 1 :]]
+        assert len(decontam.shingles(changed) & whole) >= 0.8 * len(whole)
+        assert [find.index.ids[h[0]] for h in find(text(rnd, 50) + " " + " ".join(changed) + " " + text(rnd, 50))] == [1], k
+    assert find(" ".join(item[:32]) + " " + text(rnd, 5) + " " + " ".join(item[32:]))  # whole parts that stand apart
+
+
 def test_query_finds_the_planted_items(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, sf_dir).collect()}
     docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet").collect() for n in ("documents", "benchmark"))
