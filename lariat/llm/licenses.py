@@ -139,14 +139,18 @@ def rules() -> list[Rule]:
     return [Rule(n, label, key, f" {pattern}(?= )", priority, weight, base) for n, (label, key, pattern, priority, weight, base) in enumerate(made)]
 
 
-#: Every rule's match has one of these, in any case, or cc and by as neighbours.
+#: Every rule's match has one of these, in any case, or cc0, or cc and by as neighbours, or by before a name.
 GATE = ("licen", "under", "subject", "spdx", "copyright", "reserved", "domain", "permission", "redistribut", "unencumbered")
+_BY = "by (?:the )?(?:terms of )?(?:the )?(?:" + "|".join(name for _, _, name in FAMILIES) + ")"
+_BY = _BY.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
 
 
 def _gate(text: Column) -> Column:
     """Whether a rule can match at all; cheap, and true too often."""
     hit = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(g)) for g in GATE])
-    return F.exists(F.array(F.lower(text)), lambda t: hit(t) | (F.contains(t, F.lit("cc")) & F.regexp_like(t, F.lit(f"cc(?:0|{GAP}by)"))))
+    cc = lambda t: F.contains(t, F.lit("cc")) & F.regexp_like(t, F.lit(f"cc(?:0|{GAP}by)"))
+    by = lambda t: F.contains(t, F.lit("by")) & F.regexp_like(t, F.lit(_BY))
+    return F.exists(F.array(F.lower(text)), lambda t: hit(t) | cc(t) | by(t))
 
 
 def _spaces(x: Column) -> Column:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+from re import _parser
 
 from lariat.llm import licenses
 
@@ -73,6 +75,41 @@ def test_against_definition(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def example(rnd, tokens):
+    """A text that the parsed expression matches."""
+    out = ""
+    for op, x in tokens:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "IN":
+            out += chr(rnd.choice([c for k, v in x for c in (range(v[0], v[1] + 1) if str(k) == "RANGE" else [v])]))
+        elif name == "MAX_REPEAT":
+            out += "".join(example(rnd, x[2]) for _ in range(rnd.randint(x[0], min(x[1], x[0] + 2))))
+        elif name == "SUBPATTERN":
+            out += example(rnd, x[3])
+        elif name == "BRANCH":
+            out += example(rnd, rnd.choice(x[1]))
+        else:
+            assert name == "ASSERT", name
+    return out
+
+
+def test_every_rule_passes_the_gate(spark):
+    """Texts that a rule matches, and nothing else in them, get that rule."""
+    rnd, rows = random.Random(1), []
+    for r in licenses.rules():
+        for _ in range(12):
+            words = example(rnd, _parser.parse(r.pattern)).split()
+            rows.append((r.number, rnd.choice([" ", "-", ", ", "\n"]).join(w.upper() if rnd.random() < 0.3 else w for w in words)))
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id bigint, number int, text string")
+    passed = {r.doc_id for r in docs.where(licenses._gate(docs.text)).collect()}
+    assert [x for i, x in enumerate(rows) if i not in passed] == []
+    text = "This program is covered by the GPL."
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (got.labels, got.score) == ("gpl", 0.8) and plain_detections(text)
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
