@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import OWN, cut, small_side, text_key
+from lariat.llm.common import OWN, cut, small_side, text_key, union
 from lariat.llm.components import components
 
 #: Edits between two lines of a class.
 EDITS = 1
 #: Lines shorter than this, blank ones, always stay.
 SHORTEST = 1
-#: Lines in an index bucket beyond which its lines are not paired but keyed by what one deletion leaves.
-CROWD = 256
+#: Parts into which what the lines of a crowded bucket may differ in is cut.
+PARTS = 8
 #: Rows of three numbers that may be broadcast.
 SMALL = 400_000
 
@@ -47,23 +47,23 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _keys(edits: int) -> tuple[list[Column], list[Column]]:
-    """Keys of the index entries and of the probes of a line of length n.
+def _keys(edits: int) -> list[tuple[Column, int, int]]:
+    """(key, less, segment) for each index entry, first, and each probe of a line.
 
-    A segment of a line that is `less` characters shorter can be found no further off its own
-    place than the edits on either side of it allow.
+    less: how many characters shorter the lines are that the key stands for, 0 for the line's own
+    entries. A segment of a line that is so much shorter can be found no further off its own place
+    than the edits on either side of it allow.
     """
     key = lambda length, i, at, size: F.xxhash64(length, F.lit(i), F.substr(F.col("line"), at + 1, size))
     n = F.length("line")
-    index = [key(n, i, at, size) for i, (at, size) in enumerate(_segments(n, edits))]
-    probes = []
+    made = [(key(n, i, at, size), 0, i) for i, (at, size) in enumerate(_segments(n, edits))]
     for less in range(edits + 1):
         short = n - less
         for i, (at, size) in enumerate(_segments(short, edits)):
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 if less or shift:  # else it is the line's own entry
-                    probes.append(key(short, i, at + shift, size))
-    return index, probes
+                    made.append((key(short, i, at + shift, size), less, i))
+    return made
 
 
 def _let(value: Column, body) -> Column:
@@ -140,61 +140,168 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(h1, line) of the lines with these hashes, each once."""
-    return lines.select("line", _hashes()[0]).join(small_side(ids, SMALL), "h1", "left_semi").dropDuplicates(["h1"])
+    """(h1, h2, line) of the lines with these h1, each once; copies meet after they have become one in each task."""
+    own = lines.select("line", *_hashes())
+    if ids.limit(SMALL + 1).count() <= SMALL:
+        return own.join(F.broadcast(ids), "h1", "left_semi").dropDuplicates(["h1", "h2"])
+    return own.dropDuplicates(["h1", "h2"]).join(ids, "h1", "left_semi")
 
 
-def _crowds(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """Candidates (a, b) of crowded buckets, for one edit: as many as the lines are long, whatever their number.
+def _live(entries: DataFrame, by: list[str]) -> DataFrame:
+    """The keys that some index entry shares with another line's entry: how many do, and the least and greatest h1."""
+    found = entries.groupBy(*by).agg(F.count("*").alias("n"), F.max("own").alias("own"), *(f(h).alias(c) for c, f, h in (("a", F.min, "h1"), ("b", F.max, "h1"), ("c", F.min, "h2"), ("d", F.max, "h2"))))
+    return found.where("n > 1 and own and (a <> b or c <> d)").select(*by, "n", "a", "b")
 
-    Lines of one length that agree but for the character at one place are a star around one of
-    them. A line one longer hangs on the line that it becomes without one of its characters.
+
+def _parts(members: DataFrame) -> DataFrame:
+    """Entries of a crowded bucket's lines, each without one of PARTS parts of what the lines may differ in.
+
+    rest is that remainder of a line, m its length in the bucket's shorter lines; the longer ones
+    have a character more in it. Lines that one edit tells apart agree in all parts but one.
+    """
+    m, longer = F.col("m"), F.when(F.col("own"), 0).otherwise(1)
+    count = F.least(m, F.lit(PARTS))
+
+    def part(i: Column) -> Column:
+        a, b = F.floor(i * m / count).cast("int"), F.floor((i + 1) * m / count).cast("int")
+        before, after = F.substr(F.col("rest"), F.lit(1), a), F.substr(F.col("rest"), b + longer + 1)
+        return F.struct(F.xxhash64("sub", i, before, after).alias("sub"), F.substr(F.col("rest"), a + 1, b - a + longer).alias("rest"), (b - a).alias("m"))
+
+    own = members.select("key", "own", "h1", "h2", F.explode(F.transform(F.sequence(F.lit(0), count - 1), part)).alias("p"))
+    return own.select("key", "own", "h1", "h2", "p.*")
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """Candidates (a, b) around one line of each group of entries (key, sub, v, centre, h1).
+
+    The lines of a group are within the edits of any line that may be its centre.
     """
-    text = _texts(lines, members.select("h1").distinct())
-    at = F.sequence(F.lit(1), F.length("line"))
-    rest = lambda i: F.xxhash64(F.concat(F.substr(F.col("line"), F.lit(1), i - 1), F.substr(F.col("line"), i + 1)))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("line").alias("v"), F.lit(True).alias("centre")))
-    same = F.transform(at, lambda i: F.struct(i.alias("at"), rest(i).alias("v"), F.lit(False).alias("centre")))
-    shorter = F.transform(at, lambda i: F.struct(F.lit(0).alias("at"), rest(i).alias("v"), F.lit(False).alias("centre")))
-    own = members.join(text, "h1").select("key", "h1", F.explode(F.when(F.col("own"), F.concat(whole, same)).otherwise(shorter)).alias("x"))
-    own = own.select("key", "h1", "x.*").distinct()
-    least = F.when(F.col("at") == 0, F.max(F.when(F.col("centre"), F.col("h1")))).otherwise(F.min("h1"))
-    stars = own.groupBy("key", "at", "v").agg(least.alias("c"), F.count("*").alias("n")).where("n > 1 and c is not null").drop("n")
-    return own.join(stars, ["key", "at", "v"]).where("h1 <> c").select(F.col("h1").alias("a"), F.col("c").alias("b"))
+    own = entries.distinct()
+    stars = own.groupBy("key", "sub", "v").agg(F.min(F.when(F.col("centre"), F.col("h1"))).alias("c"), F.count("*").alias("n"))
+    return own.join(stars.where("n > 1 and c is not null"), ["key", "sub", "v"]).where("h1 <> c").select(F.col("h1").alias("a"), F.col("c").alias("b"))
+
+
+def _one_place(members: DataFrame) -> DataFrame:
+    """Star entries of lines that agree but for one character (m is 1) or for one that the longer line has more.
+
+    Lines of one length are within one edit of each other. A longer line is within one edit of the
+    shorter one that it becomes without one of its two characters there.
+    """
+    rest = F.col("rest")
+    entry = lambda v, centre: F.struct(v.alias("v"), F.lit(centre).alias("centre"))
+    same, mark = entry(F.lit("any"), True), lambda x: F.concat(F.lit("="), x)
+    own = F.when(F.col("m") == 0, F.array(entry(mark(rest), True))).otherwise(F.array(same, entry(mark(rest), True)))
+    ends = [entry(mark(F.substr(rest, F.lit(i), F.lit(1))), False) for i in (1, 2)]
+    longer = F.when(F.col("m") == 0, F.array(entry(F.lit("="), False))).otherwise(F.array(*ends))
+    return members.select("key", "sub", "h1", F.explode(F.when(F.col("own"), own).otherwise(longer)).alias("e")).select("key", "sub", "h1", "e.*")
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """Candidates (a, b) of crowded buckets (key, own, segment, h1, h2, line), for one edit, whatever the number of lines.
+
+    What the lines may differ in, the half beside their common segment, is cut into parts again
+    and again, until a bucket has two lines or one character that differs.
+    """
+    short = F.length("line") - F.when(F.col("own"), 0).otherwise(1)
+    half, longer = F.floor(short / 2).cast("int"), F.length("line") - short
+    first = F.col("segment") == 0
+    rest = F.when(first, F.substr(F.col("line"), half + 1)).otherwise(F.substr(F.col("line"), F.lit(1), half + longer))
+    rows = members.select("key", "own", "h1", "h2", F.lit(0).cast("bigint").alias("sub"), rest.alias("rest"), F.when(first, short - half).otherwise(half).alias("m"))
+    found = []
+    while True:
+        rows = cut(rows)
+        found.append(_stars(_one_place(rows.where("m <= 1"))))
+        rest = rows.where("m > 1")
+        if rest.isEmpty():
+            return union(found)
+        fine = _parts(rest)
+        live = cut(_live(fine, ["key", "sub"]))
+        found.append(live.where("n = 2").select("a", "b"))
+        rows = fine.join(small_side(live.where("n > 2").select("key", "sub"), SMALL), ["key", "sub"])
+
+
+def _choices(n: Column, k: int) -> Column:
+    """All ways to choose k of the places 0 to n - 1, as ascending arrays."""
+    if not k:
+        return F.array(F.array().cast("array<int>"))
+
+    def longer(c: Column) -> Column:
+        start = F.coalesce(F.get(c, F.size(c) - 1) + 1, F.lit(0))
+        places = F.when(start < n, F.sequence(start, n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(c, F.array(i)))
+
+    return F.flatten(F.transform(_choices(n, k - 1), longer))
+
+
+def _without(chars: Column, places: Column) -> Column:
+    return F.filter(chars, lambda _, i: ~F.array_contains(places, i))
+
+
+def _ways(gone: int, places: int, less: int, same: int, centre: bool) -> Column:
+    """Star entries of a line: what is left of it without `gone` characters, and with so many places of that left out."""
+    chars, size = F.split("line", ""), F.length("line")
+
+    def shorter(d: Column) -> Column:
+        left = _without(chars, d)
+
+        def entries(s: int) -> Column:
+            value = lambda at: F.xxhash64(F.lit(less), F.lit(same), at, F.array_join(_without(left, at), "\x00"))
+            return F.transform(_choices(size - gone, s), lambda at: F.struct(value(at).cast("string").alias("v"), F.lit(centre).alias("centre")))
+
+        out = entries(0)
+        for s in range(1, places + 1):  # as many places as the line has
+            out = F.when(size - gone >= s, entries(s)).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(_choices(size, gone), shorter))
+
+
+def _edited(members: DataFrame, edits: int) -> DataFrame:
+    """Candidates (a, b) of crowded buckets (key, own, less, h1, line), for any number of edits.
+
+    A line with p characters deleted, another with q deleted, and s places left out in both: lines
+    that agree in that for s + p + q edits are a group, whose centre is of the side with fewer
+    deletions. The entries of a line are as many as there are ways to edit it, so beyond one edit
+    the cost of a line grows with a power of its length, never with the number of lines.
+    """
+    found = []
+    for less in range(edits + 1):
+        for p in range((edits - less) // 2 + 1):
+            places = edits - less - 2 * p
+            sides = [(F.col("own"), p, True)] + ([(F.col("less") == less, p + less, False)] if less else [])
+            for when, gone, centre in sides:
+                own = members.where(when).select("key", F.lit(0).cast("bigint").alias("sub"), "h1", F.explode(_ways(gone, places, less, p, centre)).alias("e"))
+                found.append(own.select("key", "sub", "h1", "e.*"))
+    return _stars(union(found))
 
 
 def links(distinct: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Edges (a, b), by h1, that connect every two lines within so many edits.
+    """Edges (a, b), structs of h1 and h2, that connect every two lines within so many edits.
 
-    distinct: a row for each different line with h1, index and probes; lines: all, to take the
-    texts of candidates from. With one edit a bucket of any size gives no more candidates than
-    its lines are long; with more, crowded buckets are paired in full.
+    distinct: a row for each different line with h1, h2 and keys; lines: all, to take the texts of
+    candidates from. A key that two lines share makes them candidates; where more do, candidates
+    come from what one edit leaves, so that their number grows with the lines, not with their pairs.
     """
-    entry = lambda own: lambda k: F.struct(k.alias("key"), F.lit(own).alias("own"))
-    entries = F.concat(F.transform("index", entry(True)), F.transform("probes", entry(False)))
-    keyed = distinct.select("h1", F.explode(entries).alias("e")).select("e.key", "e.own", "h1")
-    some = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("h1").alias("a"), F.max("h1").alias("b"))
-    some = cut(some.where("n > 1 and own and a <> b").select("key", "n", "a", "b"))
-    crowd = CROWD if edits == 1 else 1 << 62
+    made = _keys(edits)
+    told = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("e") + 1)
+    keyed = distinct.select("h1", "h2", F.posexplode("keys").alias("e", "key")).withColumn("own", F.col("e") <= edits)
+    some = cut(_live(keyed, ["key"]))
     pairs = some.where("n = 2").select("a", "b")
-    more = some.where("n > 2").select("key", "n")
-    if not more.isEmpty():
-        members = cut(keyed.join(small_side(more, SMALL), "key"))
-        few = members.where(F.col("n") <= crowd)
-        met = few.where("own").select("key", F.col("h1").alias("a")).join(few.select("key", F.col("h1").alias("b")), "key").where("a <> b").select("a", "b")
-        pairs = pairs.unionByName(met)
-        many = members.where(F.col("n") > crowd)
-        if not many.isEmpty():
-            pairs = pairs.unionByName(_crowds(many.select("key", "own", "h1"), lines))
+    members = keyed.join(small_side(some.where("n > 2").select("key"), SMALL), "key")
+    members = cut(members.select("key", "own", told([x[1] for x in made]).alias("less"), told([x[2] for x in made]).alias("segment"), "h1", "h2"))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("h1"))
+    text = cut(_texts(lines, ends(pairs).unionByName(members.select("h1")).distinct()))
+    if not members.isEmpty():
+        own = members.join(text, ["h1", "h2"])
+        pairs = pairs.unionByName(_crowded(own) if edits == 1 else _edited(own, edits))
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return pairs
-    text = cut(_texts(lines, pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()))
-    met = pairs.join(text.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
+    node = F.struct("h1", "h2")
+    x, y = (text.select(F.col("h1").alias(h), node.alias(n), F.col("line").alias(t)) for h, n, t in (("a", "u", "x"), ("b", "v", "y")))
+    met = pairs.join(x, "a").join(y, "b").where("u <> v")
     turned = F.length("x") > F.length("y")
-    met = met.select("a", "b", F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
+    met = met.select("u", "v", F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"))
     spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(spread, "a", "b").where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    return met.repartition(spread, "u", "v").where(within(F.col("x"), F.col("y"), edits)).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
@@ -206,26 +313,42 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     """
     lines = _lines(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "tk", "no")
-    index, probes = _keys(edits)
-    distinct = lines.select(*_hashes(), order.alias("at"), F.array(*index).alias("index"), F.array(*probes).alias("probes")).groupBy("h1", "h2")
-    distinct = cut(distinct.agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("index").alias("index"), F.first("probes").alias("probes")))
-    near = cut(components(links(distinct, lines, edits), "a", "b"))
-    told = distinct.select("h1", "h2", "at", "n").join(small_side(near, SMALL), F.col("h1") == F.col("node"), "left")
-    told = told.where("n > 1 or root is not null").select("h1", "h2", "at", F.coalesce("root", "h1").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).alias("alone"))
-    first = told.groupBy("root", "alone").agg(F.min("at").alias("first"))
-    same = (F.col("t.root") == F.col("f.root")) & F.col("t.alone").eqNullSafe(F.col("f.alone"))
-    told = cut(told.alias("t").join(first.alias("f"), same).select("h1", "h2", "first"))
-    met = lines.select("id", "tk", "no", order.alias("at"), *_hashes()).join(small_side(told, SMALL), ["h1", "h2"])
+    distinct = lines.select(*_hashes(), order.alias("at"), F.array(*(k for k, _, _ in _keys(edits))).alias("keys")).groupBy("h1", "h2")
+    distinct = cut(distinct.agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    near = cut(components(links(distinct, lines, edits), "a", "b").select("node.*", F.struct("root.h1", "root.h2").alias("root")))
+    told = distinct.select("h1", "h2", "at", "n").join(small_side(near, SMALL), ["h1", "h2"], "left")
+    told = told.where("n > 1 or root is not null").select("h1", "h2", "at", "n", F.coalesce("root", F.struct("h1", "h2")).alias("root"))
+    first = told.groupBy("root").agg(F.min("at").alias("first"))
+    told = cut(told.join(first, "root").select("h1", "h2", "n", "first"))
+    met = _told(lines.select("id", "tk", "no", order.alias("at"), *_hashes()), told)
     met = met.where(F.col("at") != F.col("first")).groupBy("id", "tk")
     return met.agg(F.array_sort(F.collect_set(F.struct("no", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no")))).alias("gone"))
 
 
+def _told(lines: DataFrame, told: DataFrame) -> DataFrame:
+    """The lines with their row of told (h1, h2, n and more), n being how many copies a line has.
+
+    A large told is joined by a shuffle, but for the lines that have so many copies that there can't
+    be more than SMALL of them; these are broadcast, so that no task gets all copies of one.
+    """
+    size, copies = told.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size <= SMALL:
+        return lines.join(F.broadcast(told), ["h1", "h2"])
+    often = F.col("n") > max(1000, copies // SMALL)
+    rare = lines.join(told.where(often).select("h1", "h2").hint("broadcast"), ["h1", "h2"], "left_anti").join(told.where(~often), ["h1", "h2"])
+    return rare.unionByName(lines.join(F.broadcast(told.where(often)), ["h1", "h2"]))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, told: str | None = None) -> DataFrame:
     """docs with the lines of dropped() taken out of their texts; all rows and columns stay.
 
-    told names a column to add with what dropped() says, an empty list where nothing went. Null
-    texts stay null, empty ones empty; blank lines always stay, and so do the lines' own spaces. Rows that agree in id and text are one document and keep the same lines.
+    told names a column to add with what dropped() says, an empty list where nothing went; a
+    ValueError if docs has it already. Null texts stay null, empty ones empty; blank lines always
+    stay, and so do the lines' own spaces. Rows that agree in id and text are one document and keep
+    the same lines. No rows give no rows; a line of any length is one line.
     """
+    if told in docs.columns:
+        raise ValueError(f"docs has a column {told}")
     gone = dropped(docs.select(id_col, text_col), id_col, text_col, edits).select(F.col("id").alias(f"{OWN}id"), F.col("tk").alias(f"{OWN}tk"), F.col("gone").alias(f"{OWN}gone"))
     match = F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (text_key(text_col) == F.col(f"{OWN}tk"))
     numbers = F.transform(F.col(f"{OWN}gone"), lambda x: x["no"])

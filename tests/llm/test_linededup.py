@@ -59,9 +59,9 @@ def test_banded_distance(spark, edits):
     assert [r[0] for r in got] == [distance(a, b) <= edits for a, b in rows]
 
 
-@pytest.mark.parametrize(("edits", "crowd"), [(1, 256), (1, 2), (2, 256)])
-def test_against_all_pairs(spark, monkeypatch, edits, crowd):
-    monkeypatch.setattr(linededup, "CROWD", crowd)
+@pytest.mark.parametrize(("edits", "parts"), [(1, 8), (1, 2), (1, 3), (2, 8)])
+def test_against_all_pairs(spark, monkeypatch, edits, parts):
+    monkeypatch.setattr(linededup, "PARTS", parts)
     rnd = random.Random(edits)
     base = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.randrange(22, 60))) for _ in range(8)]
     rows = []
@@ -82,6 +82,8 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, line), (1, line), (2, f"{line}\n{line}")], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in linededup.dedup(docs).collect()) == [(1, line), (1, line), (2, "")]
     assert linededup.dedup(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        linededup.dedup(docs, told="text")
     told = {r.doc_id: r.told for r in linededup.dedup(docs, told="told").collect()}
     assert told[1] == [] and [tuple(x) for x in told[2]] == [(0, 1, 0), (1, 1, 0)]
 
@@ -102,6 +104,31 @@ def test_many_short_lines(spark):
     assert {r.doc_id: r.text for r in linededup.dedup(docs).collect()} == plain(rows, 1)
 
 
+def test_many_copies_beyond_the_broadcast(spark, monkeypatch):
+    """Lines with many copies, lines with few, and the texts of candidates, where none of it may be broadcast whole."""
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    often, rows = "the one line that all documents have", []
+    for i in range(1200):
+        rows.append((i, f"{often}\nnumber {i % 40:02d} of some\nown {i:05d} and {i * i:09d}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup(docs).collect()}
+    assert got[0].startswith(often) and not any(often in t for i, t in got.items() if i)
+    few = spark.createDataFrame(rows[:150], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup(few).collect()} == plain(rows[:150], 1)
+
+
+def test_crowded_long_lines(spark):
+    """Near copies of a long line, at one edit from each other or from a common neighbour."""
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdef ") for _ in range(3000)) + "."
+    rows = [(i, changed(rnd, base, i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lines = docs.selectExpr("doc_id", "text")
+    got = {r.doc_id: r.text for r in linededup.dedup(lines).collect()}
+    left = {i for i, t in rows if i % 3 == 2}
+    assert got[0] == base and all(got[i] == "" for i, t in rows if i and i % 3 < 2) and {i for i, t in got.items() if t} <= left | {0}
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = linededup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
