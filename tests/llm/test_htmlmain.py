@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+from html.parser import HTMLParser
 
 from lariat.llm import htmlmain, queries
 
@@ -33,6 +35,57 @@ def test_odd_pages():
     assert htmlmain.host("https://u@Www.Example.com:80/x?y") == "www.example.com" and htmlmain.host(None) == "" and htmlmain.host("x") == ""
 
 
+def test_malformed_pages():
+    main = lambda x: htmlmain.blocks(x)[0]
+    assert main("<html><head><title>t</title><body><article><p>hello</p></article>") == ["hello"]
+    assert main("<html><head><title>t<body><article><p>hello</p>") == ["hello"]
+    assert main("<article><div class='entry-header'><h1>Title</h1></div><p>one <label>two</label> <math>three</math> <span class='menu'>four</span></p></article>") == ["Title", "one two three four"]
+    assert main("<div class='post-header'><h1>Title</h1></div><div class='site-header'>x</div><p>y</p>") == ["Title", "y"]
+    assert main("<article><p title=\"a > b\">x</p><p data-x=\"never closed>y</p></article>") == ["x", "y"]
+    assert main("<article><p>a</p><!-- never closed <p>b") == ["a"] and main("a<br>b <3 c</p") == ["a b <3 c"]
+    for piece in ('<a "x ', "<div>", "</x>", "<title>", "<!--", '<a b=">" ', "<a b='", "<article><section></div>", "<svg>", "< ", "&", "<p class=ad>", "<script", '<i =" > '):
+        began = time.perf_counter()
+        htmlmain.blocks(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 8, piece
+
+
+class Plain(HTMLParser):
+    """The text of an article with a standard parser, for pages that close what they open."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.parts, self.out = 0, 0, [], []
+
+    def flush(self):
+        self.out += [x] if (x := " ".join("".join(self.parts).split())) else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "table", "tr", "td", "blockquote", "pre"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "ul", "ol", "li", "div", "table", "tr", "td", "blockquote", "pre", "article"):
+            self.flush()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def plain_text(page):
+    own = Plain()
+    own.feed(page or "")
+    own.close()
+    return "\n\n".join(own.out)
+
+
 def plain_repeats(streams, run):
     where = {}
     for i, s in enumerate(streams):
@@ -77,6 +130,51 @@ def test_article_text_that_footers_repeat(spark):
     assert {r.text for r in htmlmain.extract(pages, together=4).collect()} == {f"{line}\n\nown\n\n{line}"}
 
 
+def plain_marks(articles, run):
+    """The runs that most of a host's different articles have."""
+    lists = [[t for b in x for t in b.split(" ")] for x in {tuple(x) for x in articles if x}]
+    have = [{"\x1f".join(t[i : i + run]) for i in range(len(t) - run + 1)} for t in lists]
+    return {w for own in have for w in own if sum(w in x for x in have) > htmlmain.MOST * len(lists)} if len(lists) >= htmlmain.LEAST else set()
+
+
+def test_boilerplate_in_articles(spark):
+    """What most articles of a host have goes, if no class marks it too; copies and shared passages stay. Against all runs."""
+    rnd = random.Random(3)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    call, passage, rows = say(10), say(60), []
+    for i in range(60):
+        name = "one.example" if i < 44 else "two.example" if i < 53 else "three.example"
+        body = [say(15), *([passage] if i % 2 else []), say(25), *([call, "short"] if i % 11 else []), say(8)]
+        rows.append((i, f"http://{name}/", page("<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>")))
+    copy = "<article>" + "".join(f"<p>{say(20)}</p>" for _ in range(4)) + "</article>"
+    rows += [(100 + i, "http://three.example/", page(copy)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    main = {i: htmlmain.blocks(x)[0] for i, _, x in rows}
+    want = {}
+    for name in ("one.example", "two.example", "three.example"):
+        own = [i for i, u, _ in rows if htmlmain.host(u) == name]
+        marks = plain_marks([main[i] for i in own], htmlmain.RUN)
+        want |= {i: "\n\n".join(htmlmain.article_blocks(main[i], marks)) for i in own}
+    for together in (500, 6):
+        assert {r.id: r.text for r in htmlmain.extract(pages, together=together).collect()} == want
+    assert call not in want[1] and passage in want[1] and call in want[45] and want[100] == "\n\n".join(main[100])
+    assert htmlmain.article_blocks(["a b c d e f", "g h i"], {"a\x1fb\x1fc\x1fd\x1fe\x1ff"}) == ["a b c d e f", "g h i"]  # more than half
+
+
+def test_odd_tables(spark):
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "http://a.example/", "<p>a</p>", None), (2, "no url", "", "y"), (3, "http://a.example/", "<article>" + "word " * 200_000 + "</article>", "z")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string").withColumnRenamed("host", "text")
+    got = htmlmain.extract(pages).collect()
+    assert sorted((r.id or 0, r.n_chars) for r in got) == [(0, 1), (1, 0), (1, 0), (2, 0), (3, 999_999)]
+
+
 def test_query(spark, sf_dir):
+    """Every page of the table against a standard parser, and the boilerplate of its host by all runs."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    by_host = {}
+    for _, u, x in rows:
+        by_host.setdefault(htmlmain.host(u), []).append(plain_text(x).split("\n\n"))
+    marks = {h: plain_marks(x, htmlmain.RUN) for h, x in by_host.items()}
+    want = {i: "\n\n".join(htmlmain.article_blocks(plain_text(x).split("\n\n"), marks[htmlmain.host(u)])) for i, u, x in rows}
     got = queries.op5_html(spark, sf_dir).collect()
-    assert len(got) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and all(r.text for r in got)
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) > 0 for r in got)
