@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -360,13 +361,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = _few(cut(size))
 
     def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A page's article, or null if no element marks it."""
+        """A page's article, or null if no element marks it; each but once from a task."""
+        seen = set()
         for batch in batches:
-            got = [(main, marked) for main, _, marked in (blocks(x.as_py()) for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(main) if marked else None for main, marked in got], pa.string())], names=["host", "text"])
-
-    found = own.select("host", "html").mapInArrow(articles, "host string, text string").distinct()
-    found = found.join(large, "host", "left").withColumn("share", F.pmod(F.xxhash64("text"), F.coalesce("shares", F.lit(1)).cast("bigint")).cast("int"))
+            got = []
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                main, _, marked = blocks(x.as_py())
+                text = "\n".join(main) if marked else None
+                key = hashlib.blake2b(f"{name}\0{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in seen:
+                    seen.add(key)
+                    got.append((name, text))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in range(2)], names=["host", "text"])
+
+    found = own.select("host", "html").mapInArrow(articles, "host string, text string").join(large, "host", "left")
+    found = found.withColumn("share", F.pmod(F.xxhash64("text"), F.coalesce("shares", F.lit(1)).cast("bigint")).cast("int"))
+    found = found.repartition("host", "share").distinct()  # this and the groups need no further shuffle
 
     def frequent(x: pd.DataFrame) -> pd.DataFrame:
         """The runs in most articles of a share; a row without a run tells the number of articles, and whether a page has none."""
