@@ -43,6 +43,8 @@ TEXTS = [
     "GNU General Public License version 3", "This work is licensed under the GNU General Public License, version 3.", "gpl v2 license, LGPL license, see LICENSE.txt",
     "Copyright (c) 2019 2020 all rights reserved. Subject to the terms of the Mozilla Public License version 2.0", "under the mit", "the mıt lİcense", "mit dem under mit license",
     "x " * 3000 + "under the mit license" + " y" * 3000, "SPDX-License-Identifier: BSD-3-Clause", "spdx license identifier apache 2 0", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "Developed by the Apache Software Foundation. Nothing under the sun.", "A study by MIT shows what lies under it", "it is governed by the Apache License 2.0 and bound by an MIT license", "Use is for research purposes only; see COPYING for more.",
+    "https://www.apache.org/licenses/LICENSE-2.0.txt", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "neither the name of the University nor the names of its contributors may be used to endorse or promote products",
     "cc0 license; CC0 1.0 universal license", "placed in the public domain", "made available under the terms of the Creative Commons Attribution-NonCommercial license",
 ]
 
@@ -51,7 +53,7 @@ def test_rules():
     made = licenses.rules()
     assert len(made) > 300 and len({r.number for r in made}) == len(made)
     for r in made:
-        assert re.search(rf"\b{r.keyword}\b", r.pattern), r  # the keyword is in every match
+        assert all(re.search(rf"\b{w}\b", r.pattern) for w in (r.keyword, r.second)), r  # both are in every match
         re.compile(r.pattern)
 
 
@@ -88,6 +90,8 @@ def example(rnd, tokens):
             out += "".join(example(rnd, x[2]) for _ in range(rnd.randint(x[0], min(x[1], x[0] + 2))))
         elif name == "SUBPATTERN":
             out += example(rnd, x[3])
+        elif name == "NOT_LITERAL":
+            out += rnd.choice("wxyz")
         elif name == "BRANCH":
             out += example(rnd, rnd.choice(x[1]))
         else:
@@ -96,15 +100,18 @@ def example(rnd, tokens):
 
 
 def test_every_rule_passes_the_gate(spark):
-    """Texts that a rule matches, and nothing else in them, get that rule."""
-    rnd, rows = random.Random(1), []
+    """Texts that a rule matches, and nothing else in them, get that rule, by the words that it says all its matches have."""
+    rnd, rows, by = random.Random(1), [], {r.number: r for r in licenses.rules()}
     for r in licenses.rules():
         for _ in range(12):
             words = example(rnd, _parser.parse(r.pattern)).split()
+            assert {r.keyword, r.second} <= {*words}, r
             rows.append((r.number, rnd.choice([" ", "-", ", ", "\n"]).join(w.upper() if rnd.random() < 0.3 else w for w in words)))
     docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id bigint, number int, text string")
     passed = {r.doc_id for r in docs.where(licenses._gate(docs.text)).collect()}
     assert [x for i, x in enumerate(rows) if i not in passed] == []
+    found = {(r.id, r.rule) for r in licenses.detections(docs).collect()}
+    assert [(i, by[n].pattern) for i, (n, _) in enumerate(rows) if (i, n) not in found] == []
     text = "This program is covered by the GPL."
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert (got.labels, got.score) == ("gpl", 0.8) and plain_detections(text)
