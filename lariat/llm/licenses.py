@@ -365,12 +365,9 @@ def _known(found: Column) -> Column:
 
 def _gate(text: Column) -> Column:
     """Whether a rule can match: the text has some rule's two words, as words."""
-    return F.exists(F.array(_known(_found(text))), lambda known: _tried(known, rules()))
-
-
-def _tried(known: Column, some: list[Rule]) -> Column:
-    pairs = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in sorted({(r.keyword, r.second) for r in some})))
-    return F.exists(pairs, lambda p: F.array_contains(known, F.get(p, F.lit(0))) & F.array_contains(known, F.get(p, F.lit(1))))
+    pairs = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in sorted({(r.keyword, r.second) for r in rules()})))
+    both = lambda known: F.exists(pairs, lambda p: F.array_contains(known, F.get(p, F.lit(0))) & F.array_contains(known, F.get(p, F.lit(1))))
+    return F.exists(F.array(_known(_found(text))), lambda known: (F.size(known) > 0) & both(known))  # so the words are found once
 
 
 def _spaces(x: Column) -> Column:
@@ -394,8 +391,8 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shape = "rule int, label string, keyword string, second string, pattern string, priority int, weight double, base boolean"
     held = docs.sparkSession.createDataFrame([(r.number, r.label, r.keyword, r.second, r.pattern, r.priority, r.weight, r.base) for r in made], shape)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = own.select("id", text_key().alias("tk"), _found(F.col("text")).alias("found")).withColumn("known", _known(F.col("found")))
-    gated = own.where(F.size("known") > 0).select("id", "tk", "known", _spaced(F.col("found")).alias("words")).where(_tried(F.col("known"), made)).dropDuplicates(["id", "tk"])
+    found = _found(F.col("text"))
+    gated = own.where(_gate(F.col("text"))).select("id", text_key().alias("tk"), _known(found).alias("known"), _spaced(found).alias("words")).dropDuplicates(["id", "tk"])
     tried = gated.withColumn("keyword", F.explode("known")).join(F.broadcast(held), "keyword")  # as many rules as the tables above give
     tried = tried.where(F.array_contains("known", F.col("second"))).where(F.expr("words rlike pattern"))
     parts, found = F.call_function("split", F.col("words"), F.col("pattern"), F.lit(-1)), F.call_function("regexp_extract_all", F.col("words"), F.col("pattern"), F.lit(0))
