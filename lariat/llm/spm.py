@@ -9,14 +9,18 @@ model's own encoding.
 
 A text longer than a chunk is cut anywhere. The state at a cut is the piece that ends at it or
 lies across it, and how far it reaches into the next chunk. Each chunk gives a matrix of the best
-weights from each state at its begin to each at its end; products of matrices, which associate,
-give the best state at every cut; and then each chunk is traced back for itself.
+weights from each state at its begin to each at its end. Products of matrices associate: a task
+multiplies a few neighbours, another the products of these, until one matrix stands for the text.
+Its best end goes back down the same way: a task that knows the states at both ends of its
+neighbours finds those between. Then each chunk is traced back for itself.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +33,12 @@ from lariat.llm.common import cut, text_key
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters to a chunk.
 CHUNK = 1 << 15
-#: A worker forgets what it knows of one kind (pieces, pairs) when it is so much; words and their parts have bounds of their own.
-KNOWN = 250_000
+#: Matrices that one task multiplies.
+FAN = 16
+#: A worker forgets what it knows of one kind (words, pairs of pieces) when it is so much.
+KNOWN = 300_000
+#: Characters of texts whose words are looked up together.
+TOGETHER = 1 << 22
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -52,6 +60,188 @@ class _Memo(dict):
         return out
 
 
+class _Table:
+    """Numbers from 0 on and a value of each, looked up many at once: open addressing, at most half full."""
+
+    def __init__(self, most: int):
+        self.bits = max(4, (2 * most).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.size = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for numbers that are not there."""
+        out, at, left = np.full(len(keys), -1, np.int64), self._home(keys), np.arange(len(keys))
+        while len(left):
+            seen = self.keys[at]
+            hit = seen == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (seen >= 0)
+            left, at = left[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different numbers that are not there yet."""
+        self.size += len(keys)
+        at = self._home(keys)
+        while len(keys):
+            first = np.zeros(len(keys), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            first &= self.keys[at] < 0
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            keys, values, at = keys[~first], values[~first], (at[~first] + 1) & (len(self.keys) - 1)
+
+
+class _Paths:
+    """The only paths of many short units of a BPE model at once.
+
+    Sorted units share their begins, and the last piece of a begin does not depend on what
+    follows; so each different begin is looked at once. It is the piece that ends there and may
+    follow the last piece of the begin before it. Pieces that end at a place are read backwards in
+    a trie, and what is known of pairs is kept.
+    """
+
+    #: Units of more characters are left to the search of single ones.
+    WIDEST = 48
+
+    def __init__(self, model: Model):
+        self.model, self.pieces = model, [p for p, whole in model._table.items() if whole]
+        self.ids, self.sizes = np.array([model.ids[p] for p in self.pieces], "<i4"), np.array([*map(len, self.pieces)], np.int64)
+        chars = {c: k for k, c in enumerate(sorted({c for p in self.pieces for c in p}), 1)}
+        self.kinds, self.code = len(chars) + 1, np.zeros(0x110000, np.int32)
+        for c, k in chars.items():
+            self.code[ord(c)] = k if c in model.ids else 0  # what can't stand alone is no case for this
+        steps: dict[int, int] = {}
+        ends, nodes = {}, 1
+        for k, p in enumerate(self.pieces):
+            node = 0
+            for c in reversed(p):
+                key = node * self.kinds + chars[c]
+                if key not in steps:
+                    steps[key] = nodes
+                    nodes += 1
+                node = steps[key]
+            ends[node] = k
+        self.steps = _Table(len(steps))
+        self.steps.add(np.array([*steps], np.int64), np.array([*steps.values()], np.int64))
+        self.ends = np.full(nodes, -1, np.int64)
+        self.ends[[*ends]] = [*ends.values()]
+        self.known = _Table(KNOWN)
+        self.spines = self._spines()
+
+    def _spines(self) -> tuple[list, list]:
+        """For each piece the parts of it that meet a border at its end, and at its begin, while it is merged.
+
+        Each with the score of the merge that takes it up, from the single character to the piece.
+        None for a piece whose parts' scores do not fall from a part to what it is merged into, or
+        are not their own; then merges need not come in the order of scores, and only their course
+        tells which happen.
+        """
+        scores, halves, own = self.model.scores, {}, []
+        often = {x for x, n in Counter(scores.values()).items() if n > 1}
+        for p in self.pieces:
+            parts, falls = [*p], True
+            while len(parts) > 1:
+                score, k = max((scores[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores)
+                a, b = parts[-k], parts[1 - k]
+                falls = falls and score not in often and all(len(x) == 1 or scores[x] > score for x in (a, b))
+                halves[a + b] = (a, b)
+                parts[-k : 2 - k] = [a + b]
+            own.append(falls)
+        out = ([], [])
+        for side, spines in enumerate(out):
+            for p, falls in zip(self.pieces, own, strict=True):
+                x, taken, spine = p, -np.inf, []
+                while falls:
+                    spine.append((x, taken))
+                    if len(x) == 1:
+                        break
+                    taken, x = scores[x], halves[x][1 - side]
+                spines.append(spine[::-1])
+        return out
+
+    def _may(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border between two pieces: the parts on both sides grow in the order of scores."""
+        left, right, scores = self.spines[0][a], self.spines[1][b], self.model.scores
+        if not left or not right:
+            return self.model._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+        i = j = 0
+        while True:
+            (x, taken), (y, gone) = left[i], right[j]
+            cross = scores.get(x + y)
+            if cross is not None and cross > taken and cross >= gone:  # of equal merges the leftmost comes first
+                return False
+            if taken == gone == -np.inf:  # both are whole
+                return True
+            if taken >= gone:
+                i += 1
+            else:
+                j += 1
+
+    def follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each piece may follow the one before it."""
+        keys = before * len(self.pieces) + piece
+        may = self.known.get(keys)
+        if len(fresh := np.unique(keys[may < 0])):
+            if self.known.size + len(fresh) > KNOWN:
+                self.known.clear()
+                fresh = np.unique(keys)
+            told = np.array([self._may(*divmod(k, len(self.pieces))) for k in fresh.tolist()], np.int64)
+            if len(fresh) <= KNOWN:
+                self.known.add(fresh, told)
+            may = np.where(may < 0, told[np.minimum(np.searchsorted(fresh, keys), len(fresh) - 1)], may)
+        return may > 0
+
+    def __call__(self, units: list[str], lead: str = "") -> tuple[list[str], list[bytes], list[str]]:
+        """Units, the ids of lead and each of them, as 32-bit numbers, and the units that have a character that is no piece."""
+        if not units:
+            return [], [], []
+        units = sorted(units)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        codes = self.code[np.array(units, f"U{size.max()}").view("<u4").reshape(len(units), -1)]
+        inside = np.arange(codes.shape[1]) < size[:, None]
+        if not (good := ~((codes == 0) & inside).any(1)).all():
+            rest = [u for u, x in zip(units, good.tolist(), strict=True) if not x]
+            return *self([u for u, x in zip(units, good.tolist(), strict=True) if x], lead)[:2], rest
+        codes = np.where(inside, codes, 0)
+        codes = np.concatenate([np.broadcast_to(self.code[[ord(c) for c in lead]].reshape(1, -1), (len(units), len(lead))), codes], 1)
+        size, width = size + len(lead), codes.shape[1]
+        common = np.concatenate([np.zeros(min(1, len(units)), int), np.cumprod(codes[1:] == codes[:-1], 1).sum(1)])
+        last = np.full((len(units), width + 1), -1, np.int64)
+        for end in range(1, width + 1):
+            live = size >= end
+            fresh = live & (common < end)
+            rows = np.flatnonzero(fresh)
+            found, at, node = np.full(len(rows), -1), np.arange(len(rows)), np.zeros(len(rows), np.int64)
+            for k in range(1, end + 1):
+                node = self.steps.get(node * self.kinds + codes[rows[at], end - k])
+                at, node = at[node >= 0], node[node >= 0]
+                if not len(at):
+                    break
+                piece = self.ends[node]
+                fits = piece >= 0
+                if k < end:
+                    fits[fits] = self.follow(last[rows[at[fits]], end - k], piece[fits])
+                found[at[fits]] = piece[fits]
+                at, node = at[~fits], node[~fits]
+            last[live, end] = found[np.cumsum(fresh)[live] - 1]
+        out, fill, left = np.zeros((len(units), width), "<i4"), np.full(len(units), width), size.copy()
+        rows = np.arange(len(units))
+        while len(rows):
+            piece = last[rows, left[rows]]
+            fill[rows] -= 1
+            out[rows, fill[rows]] = self.ids[piece]
+            left[rows] -= self.sizes[piece]
+            rows = rows[left[rows] > 0]
+        data, ends = out.tobytes(), 4 * width * np.arange(1, len(units) + 1)
+        begins = ends - 4 * (width - fill)
+        return units, [data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], []
+
+
 class Model:
     """A model file's pieces. Texts are not normalised but for the space mark that the file asks for."""
 
@@ -84,9 +274,12 @@ class Model:
         self._begins = _Memo(lambda g: (tuple(g[:k] for k in range(1, len(g) + 1) if k == 1 or self._table.get(g[:k])), len(g) == 4 and g in proper))
         self._bytes = _Memo(lambda p: np.array(self.piece_ids(p), "<i4").tobytes())
         self._inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self._units, self._words = _Memo(self._encode_unit, 100_000), _Memo(self._word, 500_000)
+        self._units, self._words = _Memo(self._encode_unit), _Memo(self._word)
         self._plain = bool(self.prefix) and not any("\n" in p for p in self.ids)
         self._newline = self._packed(["\n"])
+        self._paths: _Paths | None = None
+        self._size = np.array([*map(len, self.raw)])
+        self._at, self._blob = np.cumsum(self._size) - self._size, np.frombuffer(b"".join(self.raw), np.uint8)
 
     @classmethod
     def known(cls, data: bytes) -> Model:
@@ -101,10 +294,29 @@ class Model:
         with open(path, "rb") as f:
             return cls(f.read())
 
-    def forget(self) -> None:
-        """Drops what a task has learnt of its words, so that waiting workers stay small."""
-        for known in (self._words, self._units):
-            known.clear()
+    def _cut(self, marked: str) -> list[str] | None:
+        """The words of a text that begins with a space mark and has no more of them than one between words; else None."""
+        if not self._plain or marked[:1] != SPACE or marked[-1] == SPACE or SPACE + SPACE in marked or SPACE + "\n" in marked:
+            return None
+        return marked[1:].replace("\n", SPACE + "\n").split(SPACE)
+
+    def learn(self, texts: list[str]) -> None:
+        """Looks up the words of texts with marks that are not known yet, all at once; results do not depend on it."""
+        if not self.merges or not self._plain:
+            return
+        cut_up = [x for t in texts if (x := self._cut(t))]
+        words = set().union(*cut_up).difference(self._words)
+        if len(words) + len(self._words) > KNOWN:
+            self._words.clear()
+            words = set().union(*cut_up)
+        if self._paths is None:
+            self._paths = _Paths(self)
+        spaced = [w for w in words if w and w[0] != "\n" and len(w) < _Paths.WIDEST]
+        for at in range(0, len(spaced), 1 << 15):
+            self._words.update(zip(*self._paths(spaced[at : at + (1 << 15)], SPACE)[:2], strict=True))
+        lines = [w[1:] for w in words if 1 < len(w) <= _Paths.WIDEST and w[0] == "\n" and "\n" not in w[1:]]
+        units, ids, _ = self._paths(lines)
+        self._words.update(zip(map("\n".__add__, units), map(self._newline.__add__, ids), strict=True))
 
     def _merged(self, text: str) -> list[str]:
         """What the merges make of a short text: always the pair of the best score, of equals the leftmost."""
@@ -232,6 +444,8 @@ class Model:
 
     def units(self, marked: str) -> bytes:
         """The ids of a text that begins and ends where units do, as 32-bit numbers."""
+        if (words := self._cut(marked)) is not None:
+            return b"".join(map(self._words.__getitem__, words))
         return b"".join(map(self._split, _UNIT.findall(marked)))
 
     def marked(self, text: str) -> str:
@@ -239,15 +453,30 @@ class Model:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; none for an empty one."""
-        if not text:
-            return np.zeros(0, "<i4")
-        if self._plain and text[0] != " " and text[-1] != " " and SPACE not in text and "  " not in text and " \n" not in text:
-            return np.frombuffer(b"".join(map(self._words.__getitem__, text.replace("\n", " \n").split(" "))), "<i4")
-        return np.frombuffer(self.units(self.marked(text)), "<i4")
+        return np.frombuffer(self.units(self.marked(text)), "<i4") if text else np.zeros(0, "<i4")
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """encode() of each, their words looked up together."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            marked = [self.marked(t) for t in texts[at:end]]
+            self.learn(marked)
+            yield from (np.frombuffer(self.units(t) if t else b"", "<i4") for t in marked)
+            at = end
+
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        size = self._size[ids]
+        ends = np.cumsum(size)
+        return self._blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._at[ids] - ends + size, size)].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, space marks turned back, the first one dropped if the model adds it."""
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+        text = self.spelt(np.asarray(ids, np.int64)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
     def entries(self, before: str, text: str) -> list[State]:
@@ -331,13 +560,19 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def cuts(matrices: list[Matrix]) -> list[State]:
-    """The state of the best path at each cut, the begin and the end of the text among them.
+def last_state(m: Matrix) -> State:
+    """Where the best path of a whole text ends; no piece may reach on. Of equal paths the longest last piece."""
+    return max((w, len(p), (o, p)) for (o, p), w in m[0, ""].items() if not o)[2]
 
-    Suffix products say how well a text can end from each state; then each cut takes the state
-    that the one before makes best. At the end no piece may reach on.
+
+def cuts(matrices: list[Matrix], begin: State = (0, ""), end: State | None = None) -> list[State]:
+    """The states of the best path from one state to another, at these and at each cut between the matrices.
+
+    Without `end` it is that of a whole text. Products from the end say how well each state can
+    lead there; then each cut takes the state that the one before makes best.
     """
-    ends: list[dict[State, float]] = [{(0, p): 0.0 for row in matrices[-1].values() for o, p in row if not o}]
+    end = last_state(reduce(product, matrices)) if end is None else end
+    ends: list[dict[State, float]] = [{end: 0.0}]
     for m in reversed(matrices):
         after: dict[State, float] = {}
         for state, row in m.items():
@@ -345,19 +580,31 @@ def cuts(matrices: list[Matrix]) -> list[State]:
                 after[state] = max(got)
         ends.append(after)
     ends.reverse()
-    out: list[State] = [(0, "")]
-    for m, end in zip(matrices, ends[1:], strict=True):
-        out.append(max(((w + end[k], len(k[1]), k) for k, w in m[out[-1]].items() if k in end))[2])
+    out: list[State] = [begin]
+    for m, onward in zip(matrices, ends[1:], strict=True):
+        out.append(max(((w + onward[k], len(k[1]), k) for k, w in m[out[-1]].items() if k in onward))[2])
     return out
 
 
+def cuts_in_levels(matrices: list[Matrix], fan: int = FAN) -> list[State]:
+    """cuts() of a whole text as tasks find them that hold `fan` matrices each."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        levels.append([reduce(product, levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+    states = [(0, ""), last_state(levels[-1][0])]
+    for level in reversed(levels[:-1]):
+        inner = [cuts(level[fan * i : fan * (i + 1)], a, b) for i, (a, b) in enumerate(zip(states, states[1:], strict=False))]
+        states = [states[0], *(x for part in inner for x in part[1:])]
+    return states
+
+
 def encode_in_chunks(model: Model, text: str, size: int) -> np.ndarray:
     """encode() by way of chunks, on one machine."""
     marked = model.marked(text)
     if not marked:
         return np.zeros(0, "<i4")
     parts = _parts(marked, model.longest, size)
-    states = cuts([model.matrix(*p) for p in parts])
+    states = cuts_in_levels([model.matrix(*p) for p in parts])
     return np.concatenate([model.chunk(t, after, a, b) for (_, t, after), a, b in zip(parts, states, states[1:], strict=False)])
 
 
@@ -380,14 +627,61 @@ def _matrix(rows: list) -> Matrix:
     return out
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+_STATES = "a int, x string, b int, y string"
+_MATRIX = "m array<struct<a: int, x: string, b: int, y: string, w: double>>"
+
+
+def _rows(m: Matrix) -> list[dict]:
+    return [dict(zip("axbyw", r, strict=True)) for r in _flat(m)]
+
+
+def _chosen(known: DataFrame, most: int, fan: int) -> DataFrame:
+    """(g, no, a, x, b, y): the states at both ends of each chunk of each text.
+
+    known: (g, no, m) the chunks' matrices, no from 0 to `most` at the most.
+    """
+
+    def combine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            yield pd.DataFrame({"g": x["g"], "no": x["up"], "m": [_rows(reduce(product, [_matrix(m["m"]) for m in ms])) for ms in x["ms"]]})
+
+    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            got = [last_state(_matrix(m)) for m in x["m"]]
+            yield pd.DataFrame({"g": x["g"], "no": x["no"], "a": 0, "x": "", "b": [s[0] for s in got], "y": [s[1] for s in got]})
+
+    def between(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            out = []
+            for r in x.itertuples():
+                states = cuts([_matrix(m["m"]) for m in r.ms], (int(r.a), r.x), (int(r.b), r.y))
+                out += [(r.g, m["no"], *s, *t) for m, s, t in zip(r.ms, states, states[1:], strict=False)]
+            yield pd.DataFrame(out, columns=["g", "no", "a", "x", "b", "y"])
+
+    levels, level = [], known
+    while True:
+        levels.append(cut(level.groupBy("g", F.floor(F.col("no") / fan).cast("int").alias("up")).agg(F.sort_array(F.collect_list(F.struct("no", "m"))).alias("ms"))))
+        level = levels[-1].mapInPandas(combine, f"g bigint, no int, {_MATRIX}")
+        most //= fan
+        if not most:
+            break
+    states = level.mapInPandas(ends, f"g bigint, no int, {_STATES}")
+    for own in reversed(levels):
+        above = states.withColumnRenamed("no", "up")
+        states = cut(own.join(above, ["g", "up"]).mapInPandas(between, f"g bigint, no int, {_STATES}"))
+    return states
+
+
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(id, ids, n_tokens, round_trip) for each row, of whole texts.
 
     round_trip: whether decode() gives the text again; it does unless the text has the space mark
     itself, or characters that a model without byte pieces lacks. Null and empty texts have no
-    ids. Null ids and repeated rows stay. Texts of up to `chunk` characters are encoded where
-    they are read; only the chunks of longer ones are shuffled, and no task holds more of such a
-    text than a chunk until its ids are put together, which one row of the result has to hold.
+    ids. Null ids and repeated rows stay; no rows give no rows; further columns are ignored. Texts
+    of up to `chunk` characters are encoded where they are read; only the chunks of longer ones are
+    shuffled, and no task holds more of such a text than a chunk, or `fan` matrices, until its ids
+    are put together, which one row of the result has to hold. Of equal paths of a unigram model
+    the one with the longer last piece stays.
     """
     held = docs.sparkSession.sparkContext.broadcast(model.data)  # a model file has a fixed size
     kind = docs.schema[id_col].dataType.simpleString()
@@ -398,34 +692,27 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = Model.known(held.value)
         for batch in batches:
             got, back = [], []
-            for x in batch.column(1):
-                text = x.as_py()
-                got.append(model.encode(text))
-                back.append(model.decode(got[-1]) == text)
+            texts = batch.column(1).to_pylist()
+            for text, ids in zip(texts, model.encode_all(texts), strict=True):
+                got.append(ids)
+                back.append(model.decode(ids) == text)
             sizes = np.array([0, *map(len, got)])
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *got]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes[1:], pa.int64()), pa.array(back, pa.bool_())], names=["id", "ids", "n_tokens", "round_trip"])
-        model.forget()
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.known(held.value)
         for x in parts:
-            got = [[dict(zip("axbyw", r, strict=True)) for r in _flat(model.matrix(*row))] for row in zip(x["before"], x["part"], x["after"], strict=True)]
-            yield x[["id", "tk", "no"]].assign(m=got)
-
-    def choose(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("no")
-        states = cuts([_matrix(m) for m in x["m"]])
-        pairs = list(zip(states, states[1:], strict=False))
-        return x[["id", "tk", "no"]].assign(a=[p[0][0] for p in pairs], x=[p[0][1] for p in pairs], b=[p[1][0] for p in pairs], y=[p[1][1] for p in pairs])
+            yield x[["g", "no"]].assign(m=[_rows(model.matrix(*row)) for row in zip(x["before"], x["part"], x["after"], strict=True)])
 
     def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.known(held.value)
         for x in parts:
-            got = [model.chunk(r.part, r.after, (int(r.a), r.x), (int(r.b), r.y)) for r in x.itertuples()]
-            back = [b"".join(map(model.raw.__getitem__, g.tolist())) for g in got]
-            yield x[["id", "tk", "no"]].assign(ids=got, raw=back)
-        model.forget()
+            got = []
+            for r in x.itertuples():
+                model.learn([f"{SPACE}{r.part.strip(SPACE)}"])
+                got.append(model.chunk(r.part, r.after, (int(r.a), r.x), (int(r.b), r.y)))
+            yield x[["g", "no"]].assign(ids=got, raw=[model.spelt(g) for g in got])
 
     long = F.length("text") > chunk
     out = own.where(~long).mapInArrow(plain, shape)
@@ -434,27 +721,44 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return out
     size, reach = max(chunk, model.longest + 1), model.longest
     marked = F.concat(F.lit(model.prefix), F.translate("text", " ", SPACE))
-    rows = giant.dropDuplicates(["id", "tk"]).select("id", "tk", marked.alias("t"), F.length(marked).alias("n"))
+    rows = giant.dropDuplicates(["id", "tk"]).select("id", "tk", F.monotonically_increasing_id().alias("g"), marked.alias("t"), F.length(marked).alias("n"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - reach - 1), F.lit(size))
-    rows = rows.select("id", "tk", "t", "n", F.posexplode(starts).alias("no", "at"), F.element_at(starts, -1).alias("last"))
+    rows = rows.select("id", "tk", "g", "t", "n", F.posexplode(starts).alias("no", "at"), F.element_at(starts, -1).alias("last"))
     end = F.when(F.col("at") == F.col("last"), F.col("n")).otherwise(F.col("at") + size)
     back = F.least(F.col("at"), F.lit(reach))
     rows = rows.select(
-        "id", "tk", "no", F.col("t").substr(F.col("at") - back + 1, back).alias("before"),
+        "id", "tk", "g", "no", F.col("t").substr(F.col("at") - back + 1, back).alias("before"),
         F.col("t").substr(F.col("at") + 1, end - F.col("at")).alias("part"), F.col("t").substr(end + 1, F.lit(reach)).alias("after"),
     )
-    rows = cut(rows.repartition("id", "tk", "no"))
-    keys = f"id {kind}, tk bigint, no int"
-    known = rows.mapInPandas(matrices, f"{keys}, m array<struct<a: int, x: string, b: int, y: string, w: double>>")
-    chosen = known.groupBy("id", "tk").applyInPandas(choose, f"{keys}, a int, x string, b int, y string")
-    same = F.col("p.id").eqNullSafe(F.col("c.id")) & (F.col("p.tk") == F.col("c.tk")) & (F.col("p.no") == F.col("c.no"))
-    joined = rows.alias("p").join(chosen.alias("c"), same).select("p.*", "c.a", "c.x", "c.b", "c.y")
-    traced = joined.mapInPandas(trace, f"{keys}, ids array<int>, raw binary")
-    whole = traced.groupBy("id", "tk").agg(F.sort_array(F.collect_list(F.struct("no", "ids", "raw"))).alias("parts"))
+    rows = cut(rows.repartition("g", "no"))
+    known = rows.select("g", "no", "before", "part", "after").mapInPandas(matrices, f"g bigint, no int, {_MATRIX}")
+    chosen = _chosen(known, rows.agg(F.max("no")).first()[0], fan)
+    traced = rows.select("g", "no", "part", "after").join(chosen, ["g", "no"]).mapInPandas(trace, "g bigint, no int, ids array<int>, raw binary")
+    whole = traced.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("no", "ids", "raw"))).alias("parts"))
     latin = F.array_join(F.transform("parts", lambda p: F.decode(p["raw"], "ISO-8859-1")), "")  # bytes as characters, to compare
-    whole = whole.select("id", "tk", F.flatten(F.col("parts.ids")).alias("ids"), latin.alias("raw"))
+    whole = whole.select("g", F.flatten(F.col("parts.ids")).alias("ids"), latin.alias("raw")).join(rows.where("no = 0").select("g", "id", "tk"), "g")
     expected = F.decode(F.encode(marked, "UTF-8"), "ISO-8859-1")
     match = F.col("g.id").eqNullSafe(F.col("w.id")) & (F.col("g.tk") == F.col("w.tk"))
     own_mark = F.contains("text", F.lit(SPACE))
     more = giant.alias("g").join(whole.alias("w"), match).select(F.col("g.id").alias("id"), "w.ids", F.size("w.ids").cast("bigint").alias("n_tokens"), ((expected == F.col("w.raw")) & ~own_mark).alias("round_trip"))
     return out.unionByName(more)
+
+
+def decode(tokens: DataFrame, model: Model, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, text) for each row: the text of its ids.
+
+    Ids that are null, or not of the model, stand for nothing; null or empty lists are empty texts.
+    Null row ids and repeated rows stay; no rows give no rows; further columns are ignored.
+    """
+    held = tokens.sparkSession.sparkContext.broadcast(model.data)
+    kind = tokens.schema[id_col].dataType.simpleString()
+    pieces = len(model.raw)
+    good = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: i.isNotNull() & (i >= 0) & (i < pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.known(held.value)
+        for batch in batches:
+            texts = [model.decode(np.asarray(x.values, np.int64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return tokens.select(F.col(id_col).alias("id"), good.alias("ids")).mapInArrow(run, f"id {kind}, text string")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -69,6 +70,7 @@ def test_products_associate():
     m = [model.matrix(*p) for p in parts]
     assert len(m) >= 4
     assert spm.product(spm.product(m[0], m[1]), m[2]) == spm.product(m[0], spm.product(m[1], m[2]))
+    assert spm.last_state(spm.product(spm.product(m[0], m[1]), reduce(spm.product, m[2:])))[0] == 0
     whole = m[0]
     for x in m[1:]:
         whole = spm.product(whole, x)
@@ -76,6 +78,76 @@ def test_products_associate():
     assert len(ends) == 1  # one path only
 
 
+@pytest.mark.parametrize("data", [BPE, UNI])
+def test_levels_are_one_fold(data):
+    """States found level by level lie on a best path, as those of one fold from end to begin do."""
+    model, rnd = spm.Model(data), random.Random(6)
+    for n in (1, 7, 400, 900):
+        parts = spm._parts(model.marked(random_text(rnd, n)), model.longest, 20)
+        m = [model.matrix(*p) for p in parts]
+        for fan in (2, 3, 16):
+            got = spm.cuts_in_levels(m, fan)
+            assert got[0] == (0, "") and got[-1][0] == 0 and len(got) == len(m) + 1
+            weight = lambda states: sum(x[a][b] for x, a, b in zip(m, states, states[1:], strict=False))
+            assert weight(got) == pytest.approx(weight(spm.cuts(m)))
+            assert not model.merges or got == spm.cuts(m)
+
+
+def test_many_units_at_once():
+    """The paths of many units are those of single ones, whatever else is looked up with them."""
+    one, many, rnd = spm.Model(BPE), spm.Model(BPE), random.Random(7)
+    texts = [*TEXTS, *(random_text(rnd, rnd.randrange(200)) for _ in range(300))]
+    for text, ids in zip(texts, many.encode_all(texts), strict=True):
+        assert ids.tolist() == one.encode(text).tolist() and many.decode(ids) == one.decode(ids)
+    p = many._paths
+    for _ in range(5000):
+        a, b = rnd.randrange(len(p.pieces)), rnd.randrange(len(p.pieces))
+        assert p._may(a, b) == (one._merged(p.pieces[a] + p.pieces[b]) == [p.pieces[a], p.pieces[b]])
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 12))) for _ in range(3000)]
+    again = dict(zip(*p(sorted(set(words)), spm.SPACE)[:2], strict=True))
+    assert all(again[w] == one._encode_unit(spm.SPACE + w) for w in words)
+
+
+def test_little_memory(monkeypatch):
+    """Forgetting changes nothing."""
+    monkeypatch.setattr(spm, "KNOWN", 50)
+    monkeypatch.setattr(spm, "TOGETHER", 500)
+    model, rnd, library = spm.Model(BPE), random.Random(8), sentencepiece.SentencePieceProcessor(model_proto=BPE)
+    texts = [random_text(rnd, rnd.randrange(300)) for _ in range(60)]
+    assert [x.tolist() for x in model.encode_all(texts)] == [library.encode(t) for t in texts]
+
+
+def test_table():
+    rnd = random.Random(9)
+    table, want = spm._Table(500), {}
+    for _ in range(5):
+        fresh = {rnd.randrange(1 << 40): rnd.randrange(9) for _ in range(100)}
+        fresh = {k: v for k, v in fresh.items() if k not in want}
+        table.add(np.array([*fresh]), np.array([*fresh.values()]))
+        want |= fresh
+    keys = [*want, *range(50)]
+    assert table.get(np.array(keys)).tolist() == [want.get(k, -1) for k in keys]
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_unigram_documents(spark, fan):
+    model, rnd = spm.Model(UNI), random.Random(10)
+    texts = [random_text(rnd, n) for n in (5, 300, 1500)]
+    got = spm.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, chunk=60, fan=fan).collect()
+    assert all(same(model, r.ids, model.encode(texts[r.id]).tolist()) and r.round_trip for r in got) and len(got) == 3
+
+
+def test_decode(spark):
+    model = spm.Model(BPE)
+    rows = [(i, model.encode(t).tolist(), "x") for i, t in enumerate(TEXTS)] + [(None, None, "x"), (7, [], "y"), (8, [None, -1, 10**9, 5000], "y")]
+    tokens = spark.createDataFrame(rows, "id bigint, ids array<int>, text string")
+    got = spm.decode(tokens, model).collect()
+    want = [(i, t.replace(spm.SPACE, " ")) for i, t in enumerate(TEXTS)] + [(None, ""), (7, ""), (8, model.decode(np.array([5000])))]
+    want[len(TEXTS) - 1] = (len(TEXTS) - 1, " ")  # a text that is the mark itself
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert spm.decode(tokens.limit(0), model).collect() == []
+
+
 def test_documents(spark):
     model, rnd = spm.Model(BPE), random.Random(4)
     texts = [None, *TEXTS, random_text(rnd, 3000), "word " * 900, "nospace" * 400]
@@ -89,4 +161,6 @@ def test_documents(spark):
         assert r.ids == library.encode(text or "") and r.n_tokens == len(r.ids)
         assert r.round_trip == (spm.SPACE not in (text or ""))
         assert r.round_trip == (model.decode(np.array(r.ids, int)) == (text or ""))
+    again = {(r.id, tuple(r.ids)) for r in spm.encode(docs, model, chunk=100, fan=2).collect()}
+    assert again == {(r.id, tuple(r.ids)) for r in got}
     assert spm.encode(docs.limit(0), model).count() == 0
