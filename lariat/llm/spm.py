@@ -25,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -300,15 +301,14 @@ class Model:
             return None
         return marked[1:].replace("\n", SPACE + "\n").split(SPACE)
 
-    def learn(self, texts: list[str]) -> None:
-        """Looks up the words of texts with marks that are not known yet, all at once; results do not depend on it."""
+    def learn(self, texts: list[list[str] | None]) -> None:
+        """Looks up the words of texts that are cut up, as _cut() does, all at once; results do not depend on it."""
         if not self.merges or not self._plain:
             return
-        cut_up = [x for t in texts if (x := self._cut(t))]
-        words = set().union(*cut_up).difference(self._words)
+        words = set().union(*filter(None, texts)).difference(self._words)
         if len(words) + len(self._words) > KNOWN:
             self._words.clear()
-            words = set().union(*cut_up)
+            words = set().union(*filter(None, texts))
         if self._paths is None:
             self._paths = _Paths(self)
         spaced = [w for w in words if w and w[0] != "\n" and len(w) < _Paths.WIDEST]
@@ -457,16 +457,11 @@ class Model:
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """encode() of each, their words looked up together."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-                size += len(texts[end])
-                end += 1
-            marked = [self.marked(t) for t in texts[at:end]]
-            self.learn(marked)
-            yield from (np.frombuffer(self.units(t) if t else b"", "<i4") for t in marked)
-            at = end
+        marked = [self.marked(t) for t in texts]
+        words = [self._cut(t) for t in marked]
+        self.learn(words)
+        for t, w in zip(marked, words, strict=True):
+            yield np.frombuffer(self.units(t) if w is None else b"".join(map(self._words.__getitem__, w)), "<i4")
 
     def spelt(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
@@ -627,6 +622,18 @@ def _matrix(rows: list) -> Matrix:
     return out
 
 
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Begin and end of rows in order that have at most TOGETHER characters together, or are one row."""
+    a, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > a and total + size > TOGETHER:
+            yield a, k
+            a, total = k, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 _STATES = "a int, x string, b int, y string"
 _MATRIX = "m array<struct<a: int, x: string, b: int, y: string, w: double>>"
 
@@ -691,14 +698,14 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.known(held.value)
         for batch in batches:
-            got, back = [], []
-            texts = batch.column(1).to_pylist()
-            for text, ids in zip(texts, model.encode_all(texts), strict=True):
-                got.append(ids)
-                back.append(model.decode(ids) == text)
-            sizes = np.array([0, *map(len, got)])
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *got]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes[1:], pa.int64()), pa.array(back, pa.bool_())], names=["id", "ids", "n_tokens", "round_trip"])
+            for a, b in _slices(pc.utf8_length(batch.column(1)).to_pylist()):
+                got, back, texts = [], [], batch.column(1).slice(a, b - a).to_pylist()
+                for text, ids in zip(texts, model.encode_all(texts), strict=True):
+                    got.append(ids)
+                    back.append(model.decode(ids) == text)
+                sizes = np.array([0, *map(len, got)])
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(got)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pa.array(sizes[1:], pa.int64()), pa.array(back, pa.bool_())], names=["id", "ids", "n_tokens", "round_trip"])
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.known(held.value)
@@ -707,12 +714,12 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.known(held.value)
-        for x in parts:
-            got = []
-            for r in x.itertuples():
-                model.learn([f"{SPACE}{r.part.strip(SPACE)}"])
-                got.append(model.chunk(r.part, r.after, (int(r.a), r.x), (int(r.b), r.y)))
-            yield x[["g", "no"]].assign(ids=got, raw=[model.spelt(g) for g in got])
+        for whole in parts:
+            for a, b in _slices([*map(len, whole["part"])]):
+                x = whole.iloc[a:b]
+                model.learn([model._cut(f"{SPACE}{part.strip(SPACE)}") for part in x["part"]])
+                got = [model.chunk(r.part, r.after, (int(r.a), r.x), (int(r.b), r.y)) for r in x.itertuples()]
+                yield x[["g", "no"]].assign(ids=got, raw=[model.spelt(g) for g in got])
 
     long = F.length("text") > chunk
     out = own.where(~long).mapInArrow(plain, shape)

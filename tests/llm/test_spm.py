@@ -114,7 +114,9 @@ def test_little_memory(monkeypatch):
     monkeypatch.setattr(spm, "TOGETHER", 500)
     model, rnd, library = spm.Model(BPE), random.Random(8), sentencepiece.SentencePieceProcessor(model_proto=BPE)
     texts = [random_text(rnd, rnd.randrange(300)) for _ in range(60)]
-    assert [x.tolist() for x in model.encode_all(texts)] == [library.encode(t) for t in texts]
+    parts = [texts[a:b] for a, b in spm._slices([*map(len, texts)])]
+    assert sum(parts, []) == texts and len(parts) > 5 and list(spm._slices([])) == [] and list(spm._slices([9, 900, 9])) == [(0, 1), (1, 2), (2, 3)]
+    assert [x.tolist() for p in parts for x in model.encode_all(p)] == [library.encode(t) for t in texts]
 
 
 def test_table():
