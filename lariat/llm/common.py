@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from functools import reduce
@@ -49,17 +50,18 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, allowed: Column | None = None) -> DataFrame:
-    """doc_id, label and text of at most `most` labelled documents, chosen by a hash of their id.
+    """doc_id, label and text of at most `most` labelled documents: those whose ids have the smallest hashes.
 
     The bound is the caller's documented parameter. Labels and texts that are null do not count;
-    of several labels for one id the largest holds.
+    of several labels for one id the largest holds, of several texts the least.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     own = own.where(allowed) if allowed is not None else own
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     have = own.count()
-    share = min(1.0, most / max(1, have))
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20))
-    ids = own.where(place <= int(share * (1 << 20))).limit(most)  # bounded by `most`, so it may be broadcast
+    hashed, width = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 40)), 1 << 40
+    share = min(1.0, (most + 10 * math.sqrt(most) + 100) / max(1, have))  # enough by ten deviations, so that few rows are sorted
+    ids = own.withColumn(f"{OWN}h", hashed).where(F.col(f"{OWN}h") <= int(share * width)).orderBy(f"{OWN}h", "doc_id").limit(most).drop(f"{OWN}h")
     texts = docs.select("doc_id", F.col("text").alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    met = texts.join(F.broadcast(ids), "doc_id")  # bounded by `most`
+    return met.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
