@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lariat.llm.common import cut
+
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage is retrieved, and of its shingles that must overlap.
 RETRIEVE, OVERLAP = 0.65, 0.8
@@ -65,19 +67,22 @@ class Index:
     parts: list[tuple[set, set, set]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, rows: list[tuple[object, str]]) -> Index:
-        """Items without a word can't be found and are left out."""
+    def of(cls, rows: list[tuple[object, str]], all_items: tuple[int, float, dict[str, int]] | None = None) -> Index:
+        """Items without a word can't be found and are left out.
+
+        all_items: number and mean length of all items, and how many have each term, where rows are
+        a share of them only; so an item's impacts don't depend on the share it is in.
+        """
         own = cls()
         bags = [(i, t, words(t)) for i, t in rows]
         bags = sorted((x for x in bags if x[2]), key=lambda x: (len(x[2]), str(x[0])))  # similar lengths share blocks: tighter bounds
         if not bags:
             return own
         counts = [Counter(w) for _, _, w in bags]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(len(w) for _, _, w in bags) / len(bags)
+        number, mean, df = all_items or (len(bags), sum(len(w) for _, _, w in bags) / len(bags), Counter(t for c in counts for t in c))
         postings: dict[str, list[tuple[int, float]]] = {}
         for place, ((_, _, w), c) in enumerate(zip(bags, counts, strict=True)):
-            raw = {t: float(np.log1p((len(bags) - df[t] + 0.5) / (df[t] + 0.5))) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in c.items()}
+            raw = {t: float(np.log1p((number - df[t] + 0.5) / (df[t] + 0.5))) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in c.items()}
             whole = sum(raw.values())
             for t, x in raw.items():
                 postings.setdefault(t, []).append((place, x / whole))
@@ -194,27 +199,54 @@ class Finder:
         return [found[p] for p in sorted(found)]
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard: int = SHARD) -> list[Index]:
-    """Indexes over all items with a text, each of at most so many characters or of one item.
+def _terms(items: DataFrame) -> DataFrame:
+    """(size, term): a row for each item, its number of words as size, and one for each of its different words, as term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [w for w in (words(x.as_py()) for x in batch.column(0)) if w]
+            terms = [t for w in bags for t in set(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([*map(len, bags), *[None] * len(terms)], pa.int64()), pa.array([*[None] * len(bags), *terms], pa.string())], names=["size", "term"])
+
+    return items.select("text").mapInArrow(run, "size bigint, term string")
+
+
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard: int = SHARD) -> Iterator[Index]:
+    """Indexes over all items with a text, each of at most so many characters or of one item, one after the other.
 
-    Shards are gathered one after the other, so the driver holds one shard of texts at a time
-    besides the indexes made before. Repeated rows count once.
+    The driver holds one shard of texts at a time; the statistics of items that don't fit into one
+    are counted by the executors, and a shard gets those of its own terms. Repeated rows count once.
     """
-    out, rows, size = [], [], 0
-    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator():
+    own = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()).distinct()
+    told = None
+    if (own.agg(F.sum(F.length("text"))).first()[0] or 0) > shard:
+        found = cut(_terms(own))
+        number, mean = found.agg(F.count("size"), F.avg("size")).first()
+        told = number, mean or 1.0, cut(found.where("term is not null").groupBy("term").agg(F.count("*").alias("n")))
+
+    def made(rows: list[tuple[object, str]]) -> Index:
+        if told is None:
+            return Index.of(rows)
+        terms = own.sparkSession.createDataFrame([(t,) for t in sorted({t for _, x in rows for t in words(x)})], "term string")
+        return Index.of(rows, (told[0], told[1], dict(map(tuple, told[2].join(F.broadcast(terms), "term").select("term", "n").collect()))))
+
+    rows, size = [], 0
+    for r in own.orderBy("id", "text").toLocalIterator():
         if rows and size + len(r[1]) > shard:
-            out.append(Index.of(rows))
+            yield made(rows)
             rows, size = [], 0
         rows.append((r[0], r[1]))
         size += len(r[1])
-    return [*out, Index.of(rows)] if rows else out
+    if rows:
+        yield made(rows)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
     """(id, item, score, question, answer): one row for each row of docs and item found in it.
 
     Every passage of every whole text is searched. Null texts and items have no match; no items
-    give no rows. Null ids stay. Items with the same words are all found.
+    give no rows. Null ids stay, repeated rows are rows of their own, further columns are ignored.
+    Items with the same words are all found.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))

@@ -79,6 +79,21 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+def _escaped(x: str) -> str:
+    """SQL of the length of a text as the template escapes it."""
+    marks = "|".join("".join(f"\\{c}" if c in "<>|[]/" else c for c in m) for m in chat.CONTROLS)
+    return f"length(regexp_replace(replace({x}, '\\', '\\\\'), '({marks})', '\\1x', 'g'))"
+
+
+_CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum({len(chat.BEGIN) + len(chat.END) + 2} + {_escaped("replace(replace(role, '%', '%25'), chr(10), '%0A')")} + {_escaped("text")})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: each result rests on hashes of another family, a fitted model, markup, a vocabulary or classes found by rounds; tests hold them against brute force."""
-    return {}
+    """The conversations alone: the other results rest on hashes of another family, a fitted model, markup, a vocabulary or classes found by rounds; tests hold them against brute force."""
+    return {"op10_chat": _CHAT}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lariat.llm import chat, queries
@@ -82,3 +83,25 @@ def test_query(spark, sf_dir):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
     assert F is not None
+
+
+def test_query_against_sql(spark, sf_dir):
+    """Every conversation, with what the template adds to it."""
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    want = sql.execute(queries.oracle_sql()["op10_chat"])
+    names = [d[0] for d in want.description]
+    got = queries.op10_chat(spark, sf_dir).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 10
+
+
+def test_sql_of_escapes():
+    """The SQL counts the same characters as the template, with marks, backslashes and odd roles in the texts."""
+    said = ["<|im_start|>user\n\\ <|im_end|>", "<<SYS>>a<</SYS>> [INST][/INST] <s></s>", "\\\\<s", "", "100%\n"]
+    sql = duckdb.connect()
+    sql.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    for i, text in enumerate(said):
+        sql.execute("INSERT INTO conversations VALUES (1, ?, ?, ?)", [i, ["user", "assistant", "a%\nb<s>"][i % 3], text])
+    row = next(r for r in sql.execute(queries.oracle_sql()["op10_chat"]).fetchall() if r[0] == 1)
+    formatted, mask = chat.render([(["user", "assistant", "a%\nb<s>"][i % 3], text) for i, text in enumerate(said)])
+    assert row[1:] == chat.digest(formatted, mask)

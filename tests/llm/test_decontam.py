@@ -68,7 +68,7 @@ def test_against_containment(spark):
     kept = decontam.clean(own, bench)
     assert kept.columns == own.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, *_ in docs if d not in hit), key=str)
     assert decontam.matches(own.limit(0), bench).count() == 0 and decontam.matches(own, bench.limit(0)).count() == 0
-    parts = decontam.indexes(bench, shard=200)
+    parts = [*decontam.indexes(bench, shard=200)]
     assert len(parts) > 3 and sorted(i for p in parts for i in p.ids) == list(range(31))
 
 
@@ -100,3 +100,22 @@ def test_query_finds_the_planted_items(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, sf_dir).collect()}
     docs, items = (spark.read.parquet(f"{sf_dir}/{n}.parquet").collect() for n in ("documents", "benchmark"))
     assert {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text} <= got
+
+
+def test_scores_do_not_depend_on_the_shards(spark):
+    """Impacts rest on all items, however few of them an index holds."""
+    rnd = random.Random(7)
+    items = [(i, text(rnd, rnd.randrange(6, 30)) + ". " + text(rnd, 6) + ".") for i in range(40)]
+    bench = spark.createDataFrame([*items, (99, None), (98, "...")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, text(rnd, 50) + " " + items[d % 40][1] + " " + text(rnd, 30)) for d in range(60)], "doc_id bigint, text string")
+    seen = []
+    for shard in (10**6, 600, 1):
+        parts = [*decontam.indexes(bench, shard=shard)]
+        assert sorted(i for p in parts for i in p.ids) == list(range(40))
+        got = {}
+        for d in docs.collect():
+            for index in parts:
+                for place, *rest in decontam.Finder(index)(d.text):
+                    got[d.doc_id, index.ids[place]] = tuple(round(x, 9) for x in rest)
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) >= 60
