@@ -37,9 +37,9 @@ CHUNK = 1 << 15
 #: Matrices that one task multiplies.
 FAN = 16
 #: A worker forgets what it knows of one kind (words, pairs of pieces) when it is so much.
-KNOWN = 300_000
+KNOWN = 200_000
 #: Characters of texts whose words are looked up together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -132,15 +132,14 @@ class _Paths:
         self.ends = np.full(nodes, -1, np.int64)
         self.ends[[*ends]] = [*ends.values()]
         self.known = _Table(KNOWN)
-        self.spines = self._spines()
+        self.halves, self.falls = self._merges()
+        self.spines = (_Memo(lambda k: self._spine(k, 1), 5000), _Memo(lambda k: self._spine(k, 0), 5000))
 
-    def _spines(self) -> tuple[list, list]:
-        """For each piece the parts of it that meet a border at its end, and at its begin, while it is merged.
+    def _merges(self) -> tuple[dict[str, tuple[str, str]], list[bool]]:
+        """The two parts that each piece is merged from, and for each whether merges on the way to it come in the order of scores.
 
-        Each with the score of the merge that takes it up, from the single character to the piece.
-        None for a piece whose parts' scores do not fall from a part to what it is merged into, or
-        are not their own; then merges need not come in the order of scores, and only their course
-        tells which happen.
+        They do if scores fall from a part to what it is merged into, and are a merge's own; else
+        only their course tells which happen.
         """
         scores, halves, own = self.model.scores, {}, []
         often = {x for x, n in Counter(scores.values()).items() if n > 1}
@@ -153,23 +152,21 @@ class _Paths:
                 halves[a + b] = (a, b)
                 parts[-k : 2 - k] = [a + b]
             own.append(falls)
-        out = ([], [])
-        for side, spines in enumerate(out):
-            for p, falls in zip(self.pieces, own, strict=True):
-                x, taken, spine = p, -np.inf, []
-                while falls:
-                    spine.append((x, taken))
-                    if len(x) == 1:
-                        break
-                    taken, x = scores[x], halves[x][1 - side]
-                spines.append(spine[::-1])
-        return out
+        return halves, own
+
+    def _spine(self, piece: int, side: int) -> list[tuple[str, float]]:
+        """The parts of a piece that meet a border at its end (side 1) or begin (0) while it is merged, from the character to the piece, each with the score of the merge that takes it up."""
+        x, taken, spine = self.pieces[piece], -np.inf, []
+        while len(x) > 1:
+            spine.append((x, taken))
+            taken, x = self.model.scores[x], self.halves[x][side]
+        return [(x, taken), *reversed(spine)]
 
     def _may(self, a: int, b: int) -> bool:
         """Whether no merge crosses the border between two pieces: the parts on both sides grow in the order of scores."""
-        left, right, scores = self.spines[0][a], self.spines[1][b], self.model.scores
-        if not left or not right:
+        if not (self.falls[a] and self.falls[b]):
             return self.model._merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+        left, right, scores = self.spines[0][a], self.spines[1][b], self.model.scores
         i = j = 0
         while True:
             (x, taken), (y, gone) = left[i], right[j]
@@ -654,8 +651,8 @@ def _chosen(known: DataFrame, most: int, fan: int) -> DataFrame:
 
     def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
-            got = [last_state(_matrix(m)) for m in x["m"]]
-            yield pd.DataFrame({"g": x["g"], "no": x["no"], "a": 0, "x": "", "b": [s[0] for s in got], "y": [s[1] for s in got]})
+            got = [last_state(reduce(product, [_matrix(m["m"]) for m in ms])) for ms in x["ms"]]
+            yield pd.DataFrame({"g": x["g"], "no": x["up"], "a": 0, "x": "", "b": [s[0] for s in got], "y": [s[1] for s in got]})
 
     def between(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
@@ -668,11 +665,11 @@ def _chosen(known: DataFrame, most: int, fan: int) -> DataFrame:
     levels, level = [], known
     while True:
         levels.append(cut(level.groupBy("g", F.floor(F.col("no") / fan).cast("int").alias("up")).agg(F.sort_array(F.collect_list(F.struct("no", "m"))).alias("ms"))))
-        level = levels[-1].mapInPandas(combine, f"g bigint, no int, {_MATRIX}")
         most //= fan
         if not most:
             break
-    states = level.mapInPandas(ends, f"g bigint, no int, {_STATES}")
+        level = levels[-1].mapInPandas(combine, f"g bigint, no int, {_MATRIX}")
+    states = levels[-1].mapInPandas(ends, f"g bigint, no int, {_STATES}")
     for own in reversed(levels):
         above = states.withColumnRenamed("no", "up")
         states = cut(own.join(above, ["g", "up"]).mapInPandas(between, f"g bigint, no int, {_STATES}"))
