@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lariat.operators import windows
-from lariat.operators.order import keys
+from lariat.operators.order import cut, keys
+
+#: Different values of each column that a table of pairs may have.
+LEVELS = 1000
 
 
 def _skew(c: Column) -> Column:
@@ -29,14 +34,55 @@ PLAIN: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Values that one percentile may hold at once.
+HELD = 2_000_000
+
+
 def quantile_of(c: Column, q: float | list[float]) -> Column:
-    """Linear interpolation between the values on either side."""
+    """Linear interpolation between the values on either side; for groups, whose values meet in one buffer."""
     return F.percentile(c, q if isinstance(q, float) else F.array(*map(F.lit, q)))
 
 
+def quantiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float | None]:
+    """The exact quantiles of a whole column, with linear interpolation.
+
+    Few values are ranked at once. Of many, sketches of bounded size give bounds between which each
+    quantile lies; what lies between is counted, bounded again while it is too much, and ranked.
+    """
+    own = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    whole = own.count()
+    if not whole:
+        return [None] * len(shares)
+    if whole <= HELD:
+        return list(own.agg(F.percentile("v", F.array(*map(F.lit, map(float, shares))))).first()[0])
+    return [_between(own, whole, (whole - 1) * q) for q in shares]
+
+
+def _between(own: DataFrame, size: int, place: float) -> float:
+    """The value at a place, from 0, of the sorted values, on the line between its neighbours."""
+    while size > HELD:
+        near = [min(1.0, max(0.0, place / size + d)) for d in (-3e-4, 3e-4)]
+        low, high = own.agg(F.percentile_approx("v", F.array(*map(F.lit, near)), 10_000)).first()[0]
+        inside = F.col("v").between(low, high)
+        below, within = own.agg(F.count(F.when(F.col("v") < low, 1)), F.count(F.when(inside, 1))).first()
+        if not below <= math.floor(place) <= math.ceil(place) < below + within or within == size:
+            break  # many equal values: few different ones are left
+        own, size, place = own.where(inside), within, place - below
+    return own.agg(F.percentile("v", place / max(1, size - 1))).first()[0]
+
+
+def quantile(df: DataFrame, made: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with a quantile for each name: name -> (column, share)."""
+    values = {n: quantiles(df, c, [q])[0] for n, (c, q) in made.items()}
+    return df.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(n) for n, v in values.items()))
+
+
 def reduce(df: DataFrame, cols: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """One row with col_kind for each pair, in one pass."""
-    return df.agg(*(PLAIN[k](F.col(c)).alias(f"{c}_{k}") for c in cols for k in kinds))
+    """One row with col_kind for each pair; all but medians in one pass."""
+    out = df.agg(F.count("*").alias("__n"), *(PLAIN[k](F.col(c)).alias(f"{c}_{k}") for c in cols for k in kinds if k != "median"))
+    if "median" in kinds:
+        out = out.withColumns({f"{c}_median": F.lit(quantiles(df, c, [0.5])[0]).cast("double") for c in cols})
+    return out.select(*(f"{c}_{k}" for c in cols for k in kinds))
 
 
 def mad(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -44,14 +90,16 @@ def mad(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     if not by:
         centre = df.agg(F.avg(col)).first()[0]
         return df.agg(F.avg(F.abs(F.col(col) - F.lit(centre))).alias(f"{col}_mad"))
-    means = df.groupBy(*by).agg(F.avg(col).alias("__mean"))
-    return df.join(means, list(by)).groupBy(*by).agg(F.avg(F.abs(F.col(col) - F.col("__mean"))).alias(f"{col}_mad"))
+    means = df.groupBy(*by).agg(F.avg(col).alias("__mean")).select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), "__mean")
+    match = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)])
+    return df.join(means, match).groupBy(*by).agg(F.avg(F.abs(F.col(col) - F.col("__mean"))).alias(f"{col}_mad"))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max as rows, a column each; one pass."""
+    """count, mean, std, min, quartiles and max as rows, a column each."""
     names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    made = [F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), *(F.percentile(c, q) for q in (0.25, 0.5, 0.75)), F.max(c).cast("double")).alias(c) for c in cols]
+    quarters = {c: [F.lit(v).cast("double") for v in quantiles(df, c, (0.25, 0.5, 0.75))] for c in cols}
+    made = [F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), *quarters[c], F.max(c).cast("double")).alias(c) for c in cols]
     row = df.agg(*made).withColumn("stat", F.array(*map(F.lit, names)))
     return row.select(F.inline(F.arrays_zip("stat", *cols)))
 
@@ -88,10 +136,57 @@ def pairwise(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> Dat
 
 
 def idx(df: DataFrame, col: str, label: str, most: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """The label of the greatest (least) value; of equals the least label."""
-    value = F.struct((-F.col(col) if most else F.col(col)).alias("v"), F.col(label).alias("l"))
-    made = F.min(F.when(F.col(col).isNotNull(), value))["l"].alias(f"idx{'max' if most else 'min'}")
-    return df.groupBy(*by).agg(made)
+    """The label of the greatest (least) value, of any type that has an order; of equals the least label."""
+    values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__v")).agg(F.min(label).alias("__l"))
+    return values.groupBy(*by).agg((F.max_by if most else F.min_by)("__l", "__v").alias(f"idx{'max' if most else 'min'}"))
+
+
+def corrwith(left: DataFrame, right: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """column, corr: the correlation of equally named columns of two frames that a key aligns; in one pass."""
+    r = right.select(*on, *(F.col(c).cast("double").alias(f"__r_{c}") for c in cols))
+    made = [F.struct(F.lit(c).alias("column"), F.corr(F.col(c).cast("double"), F.col(f"__r_{c}")).alias("corr")) for c in cols]
+    return left.join(r, list(on)).agg(F.array(*made).alias("m")).select(F.inline("m"))
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """tau: Kendall's rank correlation with ties, tau-b, from the counts of the different pairs of values.
+
+    Pairs of rows are counted from a table of the values' counts, of which each column may have LEVELS
+    different ones: its running sums are all that is needed.
+    """
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    cells = cut(both.groupBy("a", "b").agg(F.count("*").cast("double").alias("n")))
+    levels = cells.agg(F.count_distinct("a"), F.count_distinct("b")).first()
+    if max(levels) > LEVELS:
+        raise ValueError(f"more than {LEVELS} different values; put them into bins first")
+    names = sorted(r[0] for r in cells.select("b").distinct().collect())  # bounded by LEVELS
+    wide = cells.groupBy("a").agg(*(F.coalesce(F.sum(F.when(F.col("b") == F.lit(v), F.col("n"))), F.lit(0.0)).alias(f"c{i}") for i, v in enumerate(names)))
+    rows = wide.orderBy("a").collect()  # at most LEVELS rows of LEVELS numbers
+    above, concordant, discordant = [0.0] * len(names), 0.0, 0.0
+    for r in rows:
+        left, right = 0.0, sum(above)
+        for i, n in enumerate(r[1:]):
+            right -= above[i]
+            concordant += n * left
+            discordant += n * right
+            left += above[i]
+        above = [x + n for x, n in zip(above, r[1:], strict=True)]
+    total = sum(above)
+    pairs = lambda counts: sum(n * (n - 1) / 2 for n in counts)
+    scale = ((pairs([total]) - pairs([sum(r[1:]) for r in rows])) * (pairs([total]) - pairs(above))) ** 0.5
+    return df.sparkSession.range(1).select(F.lit((concordant - discordant) / scale if scale else None).cast("double").alias("tau"))
+
+
+def valid_index(df: DataFrame, col: str, label: str, last: bool = False) -> DataFrame:
+    """The label of the first (last) row, in the order of labels, that has a value."""
+    own = F.when(F.col(col).isNotNull(), F.col(label))
+    return df.agg((F.max if last else F.min)(own).alias("last_valid" if last else "first_valid"))
+
+
+def dot(left: DataFrame, right: DataFrame, on: str, col: str, cols: Sequence[str]) -> DataFrame:
+    """The products of a column with each column of another frame that a key aligns, summed, as one row."""
+    r = right.select(F.col(on).alias("__k"), *(F.col(c).alias(f"__r_{c}") for c in cols))
+    return left.join(r, F.col(on) == F.col("__k")).agg(*(F.sum(F.col(col) * F.col(f"__r_{c}")).alias(c) for c in cols))
 
 
 class GroupBy:
@@ -152,7 +247,24 @@ class GroupBy:
         from lariat.operators.order import numbered
 
         groups = numbered(self.df.select(*self.by).distinct(), self.by, name)
-        return self.df.join(groups, self.by)
+        return self._joined(groups)
+
+    def _joined(self, made: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows with what each group has, missing keys equal."""
+        keyed = made.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(self.by)), *(c for c in made.columns if c not in self.by))
+        match = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(self.by)])
+        out = self.df.join(keyed, match, how)
+        return out if how == "left_semi" else out.drop(*(f"__g{i}" for i in range(len(self.by))))
+
+    def groups(self, label: str) -> DataFrame:
+        """first, last and size of the labels of each group."""
+        return self.df.groupBy(*self.by).agg(F.min(label).alias("first"), F.max(label).alias("last"), F.count("*").alias("size"))
+
+    def corrwith(self, col: str, other: str) -> DataFrame:
+        return self.corr(col, other)
+
+    def fillna(self, col: str, value: object, name: str | None = None) -> DataFrame:
+        return self.df.withColumn(name or col, F.coalesce(F.col(col), F.lit(value)))
 
     def _window(self):
         return Window.partitionBy(*self.by).orderBy(*keys(self.order))
@@ -182,12 +294,12 @@ class GroupBy:
     def transform(self, col: str, kind: str, name: str | None = None) -> DataFrame:
         """The group's reduction at each of its rows: aggregated first, so that only results are joined back."""
         made = self.reduce(kind, col).withColumnRenamed(f"{col}_{kind}", name or f"{col}_{kind}")
-        return self.df.join(made, self.by)
+        return self._joined(made)
 
     def filter(self, col: str, kind: str, test: Callable[[Column], Column]) -> DataFrame:
         """The rows of the groups whose reduction passes the test."""
         made = (self.size().withColumnRenamed("size", "__v") if kind == "size" else self.reduce(kind, col).withColumnRenamed(f"{col}_{kind}", "__v")).where(test(F.col("__v"))).select(*self.by)
-        return self.df.join(made, self.by, "left_semi")
+        return self._joined(made, "left_semi")
 
     def apply(self, function: Callable, schema: str) -> DataFrame:
         """A function of each group as a pandas frame; a group must fit into a task."""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.operators.order import cut, keys, running
+from lariat.operators.order import keys, running, turned
 
 _NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _KINDS = {"number": _NUMBER, "integer": _NUMBER[:4], "float": _NUMBER[4:], "object": ("string",), "string": ("string",), "bool": ("boolean",), "datetime": ("timestamp", "timestamp_ntz", "date")}
@@ -26,10 +28,16 @@ def query(df: DataFrame, text: str, **names) -> DataFrame:
     return df.where(expression(text, names))
 
 
+def _named(text: str) -> str:
+    """@x as a name; what stands in a literal stays."""
+    marks = [t.start[1] for t in tokenize.generate_tokens(io.StringIO(text.replace("\n", " ")).readline) if t.type == tokenize.OP and t.string == "@"]
+    return "".join("__at_" if i in marks else c for i, c in enumerate(text.replace("\n", " ")))
+
+
 def expression(text: str, names: dict | None = None) -> Column:
     """A Column of a Python-like expression over column names: arithmetic, comparison chains, and, or, not, in, abs and the like. Nothing is evaluated as code."""
     names = names or {}
-    tree = ast.parse(text.replace("@", "__at_").strip(), mode="eval").body
+    tree = ast.parse(_named(text.strip()), mode="eval").body
     binary = {ast.Add: "__add__", ast.Sub: "__sub__", ast.Mult: "__mul__", ast.Mod: "__mod__", ast.Pow: "__pow__", ast.BitAnd: "__and__", ast.BitOr: "__or__"}
     compare = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
 
@@ -55,7 +63,7 @@ def expression(text: str, names: dict | None = None) -> Column:
             for op, right in zip(node.ops, node.comparators, strict=True):
                 if isinstance(op, (ast.In, ast.NotIn)):
                     values = names[right.id[5:]] if isinstance(right, ast.Name) else [x.value for x in right.elts]
-                    hit = of(left).isin(list(values))
+                    hit = F.coalesce(of(left).isin(list(values)), F.lit(False))  # a missing value is in no list
                     parts.append(~hit if isinstance(op, ast.NotIn) else hit)
                 else:
                     parts.append(getattr(of(left), compare[type(op)])(of(right)))
@@ -167,25 +175,24 @@ def compare(left: DataFrame, right: DataFrame, on: Sequence[str], cols: Sequence
     return out.where(reduce(Column.__or__, differ.values())).select(*on, *made)
 
 
-def _pick(df: DataFrame, subset: Sequence[str], order: Sequence[str], keep: str) -> DataFrame:
-    from lariat.operators.order import numbered
-
-    rows = cut(numbered(df, order))
-    pick = rows.groupBy(*subset).agg((F.min("__pos") if keep != "last" else F.max("__pos")).alias("__keep"), F.count("*").alias("__n"))
-    pick = pick.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(subset)), "__keep", "__n")
-    match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(subset)])
-    return rows.join(pick, match).select(*df.columns, "__pos", "__keep", "__n")
-
-
 def duplicated(df: DataFrame, subset: Sequence[str], order: Sequence[str], keep: str = "first", name: str = "duplicated") -> DataFrame:
     """Whether a row repeats one before it (after it; or, for keep none, any other), nulls equal."""
-    out = _pick(df, subset, order, keep)
-    flag = F.col("__n") > 1 if keep == "none" else F.col("__pos") != F.col("__keep")
-    return out.withColumn(name, flag).drop("__pos", "__keep", "__n")
+    group = Window.partitionBy(*subset)
+    if keep == "none":
+        return df.withColumn(name, F.count("*").over(group) > 1)
+    return df.withColumn(name, F.row_number().over(group.orderBy(*keys(order if keep == "first" else turned(order)))) > 1)
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
-    return duplicated(df, subset, order, keep, "__dup").where("not __dup").drop("__dup")
+    """The first (last) row of each group of equal values, or those that no other row equals (none).
+
+    One shuffle; of a group no task gets more than one row from each task before it.
+    """
+    if keep == "none":
+        rows = df.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(subset))).agg(F.first(F.struct(*df.columns)).alias("__r"), F.count("*").alias("__n"))
+        return rows.where("__n = 1").select("__r.*")
+    place = F.row_number().over(Window.partitionBy(*subset).orderBy(*keys(order if keep == "first" else turned(order))))
+    return df.withColumn("__n", place).where("__n = 1").drop("__n")
 
 
 def sort_values(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -218,7 +225,8 @@ def slice_rows(df: DataFrame, order: Sequence[str], start: int, stop: int) -> Da
 
 def sample(df: DataFrame, share: float, seed: int, by: Sequence[str]) -> DataFrame:
     """About that share of the rows, chosen by a hash of the keys, so the same ones however the rows lie."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1_000_000)) < int(share * 1_000_000))
+    hashed = F.substring(F.md5(F.concat_ws("|", F.lit(seed), *by)), 1, 8)
+    return df.where(hashed < f"{int(share * (1 << 32)):08x}") if share < 1 else df
 
 
 def index_op(left: DataFrame, right: DataFrame, col: str, kind: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.operators.aggregate import PLAIN
+from lariat.operators.aggregate import PLAIN, quantiles
 from lariat.operators.order import numbered
 
 #: A pivot makes at most so many columns; more is an error, never a loss.
@@ -85,12 +85,26 @@ def wide_to_long(df: DataFrame, stubs: Sequence[str], ids: Sequence[str], suffix
 
 
 def transpose(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    """Columns as rows, and rows, named by their label, as columns; bounded by WIDEST rows."""
-    names = levels(df, label)
-    long = melt(df.select(label, *(F.col(c).cast("double").alias(c) for c in cols)), [label], cols, "column", "__v")
+    """Columns as rows, and rows, named by their label, as columns; bounded by WIDEST rows.
+
+    Numbers stay numbers, columns of several kinds become text; ValueError if labels repeat or are missing.
+    """
+    if not df.groupBy(label).count().where(F.col("count") > 1).isEmpty() or not df.where(F.col(label).isNull()).isEmpty():
+        raise ValueError(f"labels in {label} repeat or are missing")
+    names, types = levels(df, label), {t for c, t in df.dtypes if c in cols}
+    kind = "double" if types <= {"tinyint", "smallint", "int", "bigint", "float", "double"} else types.pop() if len(types) == 1 else "string"
+    long = melt(df.select(label, *(F.col(c).cast(kind).alias(c) for c in cols)), [label], cols, "column", "__v")
     return long.groupBy("column").agg(*(F.max(F.when(F.col(label) == F.lit(n), F.col("__v"))).alias(str(n)) for n in names))
 
 
+def lreshape(df: DataFrame, groups: dict[str, Sequence[str]], dropna: bool = True) -> DataFrame:
+    """A row for each row and place in the lists: name -> the columns that become one of that name."""
+    keep = [c for c in df.columns if c not in {x for g in groups.values() for x in g}]
+    rows = [F.struct(*(F.col(g[i]).alias(n) for n, g in groups.items())) for i in range(len(next(iter(groups.values()))))]
+    out = df.select(*keep, F.inline(F.array(*rows)))
+    return out.dropna(subset=list(groups)) if dropna else out
+
+
 def get_dummies(df: DataFrame, col: str, names: Sequence | None = None, prefix: str | None = None) -> DataFrame:
     """A column of 0 and 1 for each value, in place of the column."""
     names = list(names) if names is not None else levels(df, col)
@@ -111,7 +125,7 @@ def cut(c: Column, edges: Sequence[float], labels: Sequence[str] | None = None,
 
 def qcut(df: DataFrame, col: str, q: int, name: str = "bin") -> DataFrame:
     """Number of the quantile bin of each value; edges by linear interpolation."""
-    edges = df.agg(F.percentile(col, F.array(*(F.lit(i / q) for i in range(q + 1)))).alias("e")).first()[0] or []
+    edges = [e for e in quantiles(df, col, [i / q for i in range(q + 1)]) if e is not None]
     return df.withColumn(name, cut(F.col(col), edges, lowest=True).cast("int") if edges else F.lit(None).cast("int"))
 
 

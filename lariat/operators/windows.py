@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.operators.order import keys, numbered, over, running
+from lariat.operators.order import cut, decayed, keys, looked_up, numbered, over, running, turned
 
 Names = Sequence[str]
 
@@ -37,11 +37,11 @@ def cumulative(df: DataFrame, col: str, kind: str, order: Names, by: Names = (),
 
 def fill(df: DataFrame, col: str, order: Names, by: Names = (), back: bool = False, limit: int | None = None, name: str | None = None) -> DataFrame:
     """Nulls replaced by the last value before them (the next after them); limit: of so many rows in a run at most."""
-    turned = [k.desc_nulls_last() if isinstance(k, Column) else k[1:] if k.startswith("-") else f"-{k}" for k in order] if back else order
+    order = turned(order) if back else order
     if limit is None:
-        out = running(df, {"__run": ("last", col)}, turned, by)
+        out = running(df, {"__run": ("last", col)}, order, by)
         return out.withColumn(name or col, F.col("__run")).drop("__run")
-    return over(df, {name or col: lambda w: F.last(col, ignorenulls=True).over(w.rowsBetween(-limit, 0))}, turned, by, before=limit)
+    return over(df, {name or col: lambda w: F.last(col, ignorenulls=True).over(w.rowsBetween(-limit, 0))}, order, by, before=limit)
 
 
 def rank(df: DataFrame, col: str, method: str = "average", by: Names = (), order: Names = (), ascending: bool = True, pct: bool = False, name: str = "rank") -> DataFrame:
@@ -67,14 +67,15 @@ def rank(df: DataFrame, col: str, method: str = "average", by: Names = (), order
         out = out.withColumn(name, F.col(name) / F.lit(float(max(1, known.count())))) if pct else out
         return out.unionByName(df.where(F.col(col).isNull()).withColumn(name, F.lit(None).cast("double")))
     values = numbered(known.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n")), [F.col("__v").asc() if ascending else F.col("__v").desc()], "__d")
-    values = running(values, {"__upto": ("sum", "__n")}, ["__d"])
+    values = cut(running(values, {"__upto": ("sum", "__n")}, ["__d"]))
     last = F.col("__upto")
     value = {"max": last, "min": last - F.col("__n") + 1, "average": last - (F.col("__n") - 1) / 2, "dense": F.col("__d") + 1}[method].cast("double")
     if pct:
         whole = values.agg(F.max(F.col("__d") + 1 if method == "dense" else last)).first()[0] or 1
         value = value / F.lit(float(whole))
-    values = values.select("__v", value.alias(name))
-    return df.join(values, df[col] == values["__v"], "left").drop("__v")
+    values = values.select("__v", value.alias(name), "__n")
+    out = looked_up(known, values, col, "__v", "__n").drop("__v", "__n")
+    return out.unionByName(df.where(F.col(col).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def _bounds(window: int, center: bool, closed: str) -> tuple[int, int]:
@@ -156,41 +157,51 @@ def expanding(df: DataFrame, col: str, kind: str, order: Names, by: Names = (),
     return out.withColumn(name or f"{col}_{kind}", F.when(n >= min_periods, value)).drop("__n", "__s", "__q", "__x", "__xx")
 
 
-def ewm(df: DataFrame, col: str, alpha: float, kind: str = "mean", order: Names = (), by: Names = (), adjust: bool = True, name: str | None = None) -> DataFrame:
-    """Exponentially weighted mean, var (bias-corrected) or std.
+def _weighted(df: DataFrame, made: dict[str, Column], col: str, keep: float, order: Names, by: Names, skip: bool) -> DataFrame:
+    """df with decayed sums; skip: rows without a value do not age the others."""
+    w = Window.partitionBy(*by).orderBy(*keys(order)) if by else None
+    if not skip:
+        rows = df.withColumn("__i", (F.row_number().over(w) - 1).cast("bigint")) if by else numbered(df, order, "__i")
+    elif by:
+        rows = df.withColumn("__i", F.count(col).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    else:
+        rows = running(df, {"__i": ("count", col)}, order).withColumn("__i", F.col("__i") - 1)
+    rows = rows.withColumn("__i", F.greatest("__i", F.lit(0)))
+    return decayed(rows, made, keep, "__i", by)
 
-    Weights shrink by 1 - alpha with each row; what lies so far back that all of it together
-    weighs less than a double can tell is left out, so the reach is bounded. Nulls weigh nothing.
-    """
-    keep = 1.0 - alpha
-    reach = 0 if keep <= 0 else min(100_000, math.ceil(math.log(1e-18 * alpha) / math.log(keep))) if keep < 1 else 100_000
 
-    def make(w):
-        got = F.collect_list(F.struct(F.col(col).cast("double").alias("v"))).over(w.rowsBetween(-reach, 0))
-        if kind == "mean" and not adjust:
-            start = F.lit(None).cast("double")
-            return F.aggregate(got, start, lambda a, x: F.when(a.isNull(), x["v"]).when(x["v"].isNull(), a).otherwise(a * keep + x["v"] * alpha))
-        zero = F.lit(0.0)
-        start = F.struct(zero.alias("w"), zero.alias("ww"), zero.alias("s"))
-
-        def more(a: Column, x: Column) -> Column:
-            one = F.when(x["v"].isNull(), 0.0).otherwise(1.0)
-            return F.struct((a["w"] * keep + one).alias("w"), (a["ww"] * keep * keep + one).alias("ww"), (a["s"] * keep + F.coalesce(x["v"], zero)).alias("s"))
-
-        def mean(a: Column) -> Column:
-            return F.try_divide(a["s"], a["w"])
-
-        if kind == "mean":
-            return F.aggregate(got, start, more, mean)
-        total = F.aggregate(got, start, more)
-        centre = F.aggregate(got, start, more, mean)
-
-        def var(args: Column) -> Column:
-            t, m, rows = args["t"], args["m"], args["rows"]
-            square = F.aggregate(rows, zero, lambda a, x: a * keep + F.coalesce((x["v"] - m) * (x["v"] - m), zero))
-            return F.when(t["w"] * t["w"] > t["ww"], F.try_divide(square * t["w"], t["w"] * t["w"] - t["ww"]))
-
-        value = F.get(F.transform(F.array(F.struct(total.alias("t"), centre.alias("m"), got.alias("rows"))), var), F.lit(0))
-        return F.sqrt(value) if kind == "std" else value
-
-    return over(df, {name or f"{col}_ewm": make}, order, by, before=reach)
+def ewm(df: DataFrame, col: str, alpha: float, kind: str = "mean", order: Names = (), by: Names = (), adjust: bool = True, name: str | None = None, other: str | None = None) -> DataFrame:
+    """Exponentially weighted mean, var, std, cov or corr with another column; all but the mean are bias-corrected.
+
+    Weights shrink by 1 - alpha with each row, over all rows so far. Nulls weigh nothing; pairs
+    count where both values are known.
+    """
+    keep, out = 1.0 - alpha, name or f"{col}_ewm"
+    x = F.col(col).cast("double")
+    one = lambda c: F.when(c.isNotNull(), 1.0).otherwise(0.0)
+    if kind == "mean" and not adjust:
+        first = F.when(F.col("__i") == 0, x).otherwise(x * alpha)
+        rows = _weighted(df, {"__s": first, "__n": one(x)}, col, keep, order, by, True)
+        return rows.withColumn(out, F.when(F.col("__n") > 0, F.col("__s"))).drop("__s", "__n", "__i")
+    if kind == "mean":
+        rows = _weighted(df, {"__s": x, "__w": one(x)}, col, keep, order, by, False)
+        return rows.withColumn(out, F.try_divide(F.col("__s"), F.col("__w"))).drop("__s", "__w", "__i")
+    y = F.col(other).cast("double") if other else x
+    both = x.isNotNull() & y.isNotNull()
+    middle = df.agg(F.avg(F.when(both, x)), F.avg(F.when(both, y))).first()  # moments about the mean keep their digits
+    a, b = (F.when(both, c - F.lit(m or 0.0)) for c, m in zip((x, y), middle, strict=True))
+    made = {"__w": one(a), "__x": a, "__y": b, "__xx": a * a, "__yy": b * b, "__xy": a * b}
+    rows = _weighted(df, made, col, keep, order, by, False)
+    squares = _weighted(df, {"__ww": one(a)}, col, keep * keep, order, by, False)
+    rows = rows.withColumns({"__x": F.try_divide("__x", "__w"), "__y": F.try_divide("__y", "__w")})
+    moment = lambda s, u, v: F.try_divide(F.col(s), F.col("__w")) - F.col(u) * F.col(v)
+    if kind == "corr":
+        value = F.try_divide(moment("__xy", "__x", "__y"), F.sqrt(F.greatest(moment("__xx", "__x", "__x") * moment("__yy", "__y", "__y"), F.lit(0.0))))
+        return rows.withColumn(out, value).drop("__i", *made)
+    # the sum of squared weights follows from their number alone where no value is missing
+    w, ww = F.col("__w"), F.col("__ww")
+    match = [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by] + [F.col("r.__i") == F.col("q.__i")]
+    rows = rows.alias("r").join(squares.select(*by, "__i", "__ww").alias("q"), reduce(Column.__and__, match)).select("r.*", "q.__ww")
+    value = F.when(w * w > ww * (1 + 1e-12), F.greatest(moment("__xy", "__x", "__y"), F.lit(0.0)) if kind != "cov" else moment("__xy", "__x", "__y")) * F.try_divide(w * w, w * w - ww)
+    value = F.sqrt(value) if kind == "std" else value
+    return rows.withColumn(out, value).drop("__i", "__ww", *made)
