@@ -87,3 +87,80 @@ def between_time(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     at = F.date_format(ts, "HH:mm:ss")
     inside = (at >= start) & (at <= end) if start <= end else (at >= start) | (at <= end)
     return df.where(inside)
+
+
+def tz_localize(c: Column, zone: str) -> Column:
+    """A clock time of a zone as UTC."""
+    return F.to_utc_timestamp(c.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
+def tz_convert(c: Column, zone: str) -> Column:
+    """A UTC time as the clock time of a zone."""
+    return F.from_utc_timestamp(c.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
+def total_seconds(a: Column, b: Column) -> Column:
+    """Seconds from b to a."""
+    return (_micros(a) - _micros(b)) / 1e6
+
+
+def components(seconds: Column) -> dict[str, Column]:
+    """Whole days, hours, minutes and seconds of a length of time; days carry the sign."""
+    whole = F.floor(seconds)
+    rest = F.pmod(whole, F.lit(86400))
+    return {"days": F.floor(whole / 86400), "hours": F.floor(rest / 3600), "minutes": F.floor(F.pmod(rest, F.lit(3600)) / 60), "seconds": F.pmod(rest, F.lit(60))}
+
+
+def to_timedelta(c: Column) -> Column:
+    """Seconds of a text such as 2 days 03:04:05, 03:04:05 or 5 days; null for others."""
+    days = F.regexp_extract(c, r"^\s*(-?\d+) days?", 1)
+    clock = F.regexp_extract(c, r"(\d+):(\d\d):(\d\d)\s*$", 0)
+    part = lambda i: F.get(F.split(clock, ":"), F.lit(i)).cast("double")
+    known = c.rlike(r"^\s*(-?\d+ days?)?\s*(\d+:\d\d:\d\d)?\s*$") & c.rlike(r"\d")
+    return F.when(known, F.when(days != "", days.cast("double") * 86400).otherwise(0.0) + F.when(clock != "", part(0) * 3600 + part(1) * 60 + part(2)).otherwise(0.0))
+
+
+def timedelta_range(spark: SparkSession, start: int, count: int, step: int) -> DataFrame:
+    """Column seconds: so many lengths of time, a step of seconds apart."""
+    return spark.range(count).select((F.lit(start) + F.col("id") * step).alias("seconds"))
+
+
+def period_range(spark: SparkSession, start: str, end: str, freq: str = "month") -> DataFrame:
+    """Column period with the starts of all months (days, quarters, years) from start to end."""
+    step = {"day": "1 day", "month": "1 month", "quarter": "3 months", "year": "1 year"}[freq]
+    return date_range(spark, start, end, step).select(F.date_trunc(freq, "ts").cast("timestamp_ntz").alias("period"))
+
+
+def infer_freq(df: DataFrame, ts: str) -> DataFrame:
+    """One row, seconds: the one distance between neighbouring different times, null if there are several."""
+    from lariat.operators.order import over
+
+    times = df.select(ts).where(F.col(ts).isNotNull()).distinct()
+    steps = over(times, {"__d": lambda w: total_seconds(F.col(ts), F.lag(ts).over(w))}, [ts], before=1)
+    return steps.agg(F.when(F.min("__d") == F.max("__d"), F.min("__d")).alias("seconds"))
+
+
+def day(c: Column, n: int = 1) -> Column:
+    return F.date_add(F.to_date(c), n)
+
+
+def month_start(c: Column, n: int = 1) -> Column:
+    """The nth first of a month after a date; for n below 0, before it."""
+    first = F.trunc(c, "month")
+    return F.add_months(first, n) if n > 0 else F.add_months(first, F.when(F.to_date(c) == first, n).otherwise(n + 1))
+
+
+def year_start(c: Column, n: int = 1) -> Column:
+    first = F.trunc(c, "year")
+    return F.add_months(first, 12 * n) if n > 0 else F.add_months(first, F.when(F.to_date(c) == first, 12 * n).otherwise(12 * (n + 1)))
+
+
+def year_end(c: Column, n: int = 1) -> Column:
+    """The nth last day of a year after a date; that day itself moves on by n whole years."""
+    last = F.last_day(F.add_months(F.trunc(c, "year"), 11))
+    return F.add_months(last, F.when(F.to_date(c) == last, 12 * n).otherwise(12 * (n - 1) if n > 0 else 12 * n))
+
+
+def date_offset(c: Column, years: int = 0, months: int = 0, days: int = 0) -> Column:
+    """Months first, to the last day at most, then days."""
+    return F.date_add(F.add_months(F.to_date(c), 12 * years + months), days)

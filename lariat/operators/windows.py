@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +138,12 @@ def rolling(
     return over(df, {name or f"{col}_{kind}": make}, order, by, before=max(0, -first), after=max(0, last))
 
 
+def rolling_apply(df: DataFrame, col: str, window: int, function: Callable[[Column], Column], order: Names, by: Names = (), name: str | None = None) -> DataFrame:
+    """A function of the array of the last `window` values, of which nulls are no part; null before so many rows."""
+    made = lambda w: F.when(F.count("*").over(w.rowsBetween(1 - window, 0)) == window, function(F.collect_list(col).over(w.rowsBetween(1 - window, 0))))
+    return over(df, {name or f"{col}_apply": made}, order, by, before=window - 1)
+
+
 def expanding(df: DataFrame, col: str, kind: str, order: Names, by: Names = (), min_periods: int = 1, name: str | None = None) -> DataFrame:
     """A function of all rows up to the own one: sum, mean, min, max, count, var, std."""
     made = {"__n": ("count", col)}

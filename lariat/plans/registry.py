@@ -29,7 +29,7 @@ def query(name: str, sql: str | None, make: Callable[[Tables], DataFrame]) -> No
 
 
 def _load() -> None:
-    from lariat.plans import frames, rows, text  # noqa: F401  they register their queries
+    from lariat.plans import frames, labelled, rows, text  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
