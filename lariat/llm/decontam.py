@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import cut
+from lariat.llm.common import cut, tidy
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage is retrieved, and of its shingles that must overlap.
@@ -279,6 +279,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
             find = Finder(held.value, retrieve, overlap)
             for batch in batches:
                 yield batch.filter(pa.array([not find(text.as_py()) for text in batch.column(place)], pa.bool_()))
+            tidy()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

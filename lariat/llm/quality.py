@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import labelled_sample
+from lariat.llm.common import labelled_sample, tidy
 
 #: At most so many labelled documents train the trees.
 SAMPLE = 12_000
@@ -206,5 +206,6 @@ def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", keep: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_verdicts(batch.column(place), model, keep)[1][2]))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

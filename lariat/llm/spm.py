@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lariat.llm.common import cut, text_key
+from lariat.llm.common import cut, text_key, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters to a chunk.
 CHUNK = 1 << 15
 #: Matrices that one task multiplies.
 FAN = 16
-#: A worker forgets what it knows of one kind (words, pairs of pieces) when it is so much.
-KNOWN = 200_000
+#: A worker forgets its words, and which pairs of pieces may follow each other, when it knows so many.
+KNOWN, PAIRS = 150_000, 250_000
 #: Characters of texts whose words are looked up together.
 TOGETHER = 1 << 21
 
@@ -131,7 +131,7 @@ class _Paths:
         self.steps.add(np.array([*steps], np.int64), np.array([*steps.values()], np.int64))
         self.ends = np.full(nodes, -1, np.int64)
         self.ends[[*ends]] = [*ends.values()]
-        self.known = _Table(KNOWN)
+        self.known = _Table(PAIRS)
         self.halves, self.falls = self._merges()
         self.spines = (_Memo(lambda k: self._spine(k, 1), 5000), _Memo(lambda k: self._spine(k, 0), 5000))
 
@@ -185,11 +185,11 @@ class _Paths:
         keys = before * len(self.pieces) + piece
         may = self.known.get(keys)
         if len(fresh := np.unique(keys[may < 0])):
-            if self.known.size + len(fresh) > KNOWN:
+            if self.known.size + len(fresh) > PAIRS:
                 self.known.clear()
                 fresh = np.unique(keys)
             told = np.array([self._may(*divmod(k, len(self.pieces))) for k in fresh.tolist()], np.int64)
-            if len(fresh) <= KNOWN:
+            if len(fresh) <= PAIRS:
                 self.known.add(fresh, told)
             may = np.where(may < 0, told[np.minimum(np.searchsorted(fresh, keys), len(fresh) - 1)], may)
         return may > 0
@@ -298,6 +298,12 @@ class Model:
             return None
         return marked[1:].replace("\n", SPACE + "\n").split(SPACE)
 
+    def forget(self) -> None:
+        """Drops the words of a task, so that waiting workers stay small."""
+        self._words.clear()
+        self._units.clear()
+        tidy()
+
     def learn(self, texts: list[list[str] | None]) -> None:
         """Looks up the words of texts that are cut up, as _cut() does, all at once; results do not depend on it."""
         if not self.merges or not self._plain:
@@ -309,8 +315,8 @@ class Model:
         if self._paths is None:
             self._paths = _Paths(self)
         spaced = [w for w in words if w and w[0] != "\n" and len(w) < _Paths.WIDEST]
-        for at in range(0, len(spaced), 1 << 15):
-            self._words.update(zip(*self._paths(spaced[at : at + (1 << 15)], SPACE)[:2], strict=True))
+        for at in range(0, len(spaced), 1 << 13):
+            self._words.update(zip(*self._paths(spaced[at : at + (1 << 13)], SPACE)[:2], strict=True))
         lines = [w[1:] for w in words if 1 < len(w) <= _Paths.WIDEST and w[0] == "\n" and "\n" not in w[1:]]
         units, ids, _ = self._paths(lines)
         self._words.update(zip(map("\n".__add__, units), map(self._newline.__add__, ids), strict=True))
@@ -703,6 +709,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 sizes = np.array([0, *map(len, got)])
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(got)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pa.array(sizes[1:], pa.int64()), pa.array(back, pa.bool_())], names=["id", "ids", "n_tokens", "round_trip"])
+        model.forget()
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.known(held.value)
@@ -717,6 +724,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 model.learn([model._cut(f"{SPACE}{part.strip(SPACE)}") for part in x["part"]])
                 got = [model.chunk(r.part, r.after, (int(r.a), r.x), (int(r.b), r.y)) for r in x.itertuples()]
                 yield x[["g", "no"]].assign(ids=got, raw=[model.spelt(g) for g in got])
+        model.forget()
 
     long = F.length("text") > chunk
     out = own.where(~long).mapInArrow(plain, shape)

@@ -111,6 +111,7 @@ def test_many_units_at_once():
 def test_little_memory(monkeypatch):
     """Forgetting changes nothing."""
     monkeypatch.setattr(spm, "KNOWN", 50)
+    monkeypatch.setattr(spm, "PAIRS", 60)
     monkeypatch.setattr(spm, "TOGETHER", 500)
     model, rnd, library = spm.Model(BPE), random.Random(8), sentencepiece.SentencePieceProcessor(model_proto=BPE)
     texts = [random_text(rnd, rnd.randrange(300)) for _ in range(60)]
