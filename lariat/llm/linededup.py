@@ -214,7 +214,7 @@ def _crowded(members: DataFrame) -> DataFrame:
         rest = rows.where("m > 1")
         if rest.isEmpty():
             return union(found)
-        fine = _parts(rest)
+        fine = cut(_parts(rest))  # read twice; without the cut each entry would be made twice
         live = cut(_live(fine, ["key", "sub"]))
         found.append(live.where("n = 2").select("a", "b"))
         rows = fine.join(small_side(live.where("n > 2").select("key", "sub"), SMALL), ["key", "sub"])

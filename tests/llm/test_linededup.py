@@ -129,6 +129,44 @@ def test_crowded_long_lines(spark):
     assert got[0] == base and all(got[i] == "" for i, t in rows if i and i % 3 < 2) and {i for i, t in got.items() if t} <= left | {0}
 
 
+def runs(spark):
+    """Ids of the SQL runs that Spark still knows, and where it keeps them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = store.executionsList()
+    return [known.apply(i).executionId() for i in range(known.size())], store
+
+
+def generated(spark, since, what):
+    """Rows made, in SQL runs after that id, by the explodes whose text has that in it."""
+    out, (ids, store) = 0, runs(spark)
+    for run in (i for i in ids if i > since):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate" and what in node.desc():
+                told = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found = [values.get(x.accumulatorId()) for x in told if x.name() == "number of output rows"]
+                out += sum(int(x.get().replace(",", "")) for x in found if x.isDefined())
+    return out
+
+
+def test_entries_of_crowded_buckets_are_made_once(spark, monkeypatch):
+    """Each line of a crowded bucket makes PARTS entries, once; a group of twice the lines makes about twice as many."""
+    parts, asked = linededup._parts, []
+    monkeypatch.setattr(linededup, "_parts", lambda members: asked.append(members) or parts(members))
+    rnd = random.Random(3)
+    base, made = "".join(rnd.choice("abcdefgh ") for _ in range(200)) + ".", []
+    near = sorted({changed(rnd, base, 1 + i % 2) for i in range(600)})
+    rnd.shuffle(near)
+    for n in (200, 400):
+        docs, since = spark.createDataFrame(list(enumerate(near[:n])), "doc_id bigint, text string"), max([-1, *runs(spark)[0]])
+        asked.clear()
+        linededup.dropped(docs).count()
+        made.append(generated(spark, since, "xxhash64(sub"))
+        assert made[-1] == sum(min(r.m, linededup.PARTS) for x in asked for r in x.select("m").collect()) > n
+    assert made[1] < 3 * made[0]
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = linededup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
