@@ -131,7 +131,7 @@ def pairwise(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> Dat
         for b in cols:
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
             x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-            made.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (F.covar_samp(x, y) if method == "cov" else F.corr(x, y)).alias("value")))
+            made.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (F.covar_samp(x, y) if method == "cov" else windows.correlation(x, y)).alias("value")))
     return df.agg(F.array(*made).alias("m")).select(F.inline("m"))
 
 
@@ -144,7 +144,7 @@ def idx(df: DataFrame, col: str, label: str, most: bool = True, by: Sequence[str
 def corrwith(left: DataFrame, right: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """column, corr: the correlation of equally named columns of two frames that a key aligns; in one pass."""
     r = right.select(*on, *(F.col(c).cast("double").alias(f"__r_{c}") for c in cols))
-    made = [F.struct(F.lit(c).alias("column"), F.corr(F.col(c).cast("double"), F.col(f"__r_{c}")).alias("corr")) for c in cols]
+    made = [F.struct(F.lit(c).alias("column"), windows.correlation(F.col(c), F.col(f"__r_{c}")).alias("corr")) for c in cols]
     return left.join(r, list(on)).agg(F.array(*made).alias("m")).select(F.inline("m"))
 
 
@@ -231,7 +231,7 @@ class GroupBy:
         return self.df.groupBy(*self.by).agg(F.count(c).alias(f"{col}_count"), F.avg(c).alias(f"{col}_mean"), F.stddev_samp(c).alias(f"{col}_std"), F.min(c).alias(f"{col}_min"), *quarters, F.max(c).alias(f"{col}_max"))
 
     def corr(self, a: str, b: str) -> DataFrame:
-        return self.df.groupBy(*self.by).agg(F.corr(a, b).alias("corr"))
+        return self.df.groupBy(*self.by).agg(windows.correlation(F.col(a), F.col(b)).alias("corr"))
 
     def cov(self, a: str, b: str) -> DataFrame:
         return self.df.groupBy(*self.by).agg(F.covar_samp(a, b).alias("cov"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lariat.operators.order import cut, decayed, keys, looked_up, numbered, over, running, turned
@@ -94,6 +94,15 @@ def _moment(col: Column, kind: str, w) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(col).over(w) + 6))
 
 
+def correlation(a: Column, b: Column, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of the pairs without a null, as an aggregate or over a window; NaN where one of the two does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    of = (lambda c: c.over(w)) if w is not None else lambda c: c
+    scale = of(F.stddev_pop(x)) * of(F.stddev_pop(y))  # corr() itself divides by 0 there, an error in ANSI mode
+    return F.when(scale == 0, F.lit(float("nan"))).otherwise(F.try_divide(of(F.covar_pop(x, y)), scale))
+
+
 def _frame(col: str, kind: str, w, q: float = 0.5, other: str | None = None, weights: Sequence[float] = ()) -> Column:
     c = F.col(col).cast("double")
     if kind in ("skew", "kurt"):
@@ -101,9 +110,7 @@ def _frame(col: str, kind: str, w, q: float = 0.5, other: str | None = None, wei
     if kind == "sem":
         return F.stddev_samp(c).over(w) / F.sqrt(F.count(c).over(w))
     if kind in ("corr", "cov"):
-        both = F.col(col).isNotNull() & F.col(other).isNotNull()
-        x, y = F.when(both, c), F.when(both, F.col(other).cast("double"))
-        return (F.corr(x, y) if kind == "corr" else F.covar_samp(x, y)).over(w)
+        return correlation(c, F.col(other), w) if kind == "corr" else F.covar_samp(c, F.col(other).cast("double")).over(w)
     if kind == "weighted":
         got = F.collect_list(F.struct(c.alias("v"))).over(w)
         scaled = F.zip_with(got, F.array(*map(F.lit, map(float, weights))), lambda x, k: x["v"] * k)

@@ -85,7 +85,7 @@ query("corrwith", "SELECT 'v' AS \"column\", round(corr(c_acctbal, s_acctbal), 6
 query("dot", "SELECT round(sum(c_acctbal * s_acctbal), 2) AS s_acctbal FROM customer JOIN supplier ON c_custkey = s_suppkey", lambda t: aggregate.dot(t.customer, t.supplier.select(C("s_suppkey").alias("c_custkey"), "s_acctbal"), "c_custkey", "c_acctbal", ["s_acctbal"]).select(F.round("s_acctbal", 2).alias("s_acctbal")))
 query("first_valid_index", "SELECT min(event_id) AS first_valid FROM events WHERE value >= 30", lambda t: aggregate.valid_index(t.events.withColumn("v", F.when(C("value") >= 30, C("value"))), "v", "event_id"))
 query("last_valid_index", "SELECT max(event_id) AS last_valid FROM events WHERE value >= 30", lambda t: aggregate.valid_index(t.events.withColumn("v", F.when(C("value") >= 30, C("value"))), "v", "event_id", last=True))
-query("autocorr", f"SELECT round(corr(value, b), 6) AS corr FROM (SELECT value, lag(value) OVER (ORDER BY i) AS b FROM {_E})", lambda t: six(windows.shift(t.events, "value", 1, _O, name="b").agg(F.corr("value", "b").alias("corr")), "corr"))
+query("autocorr", f"SELECT round(corr(value, b), 6) AS corr FROM (SELECT value, lag(value) OVER (ORDER BY i) AS b FROM {_E})", lambda t: six(windows.shift(t.events, "value", 1, _O, name="b").agg(windows.correlation(F.col("value"), F.col("b")).alias("corr")), "corr"))
 query("groupby_groups", "SELECT o_orderstatus, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS size FROM orders GROUP BY 1", lambda t: GroupBy(t.orders, ["o_orderstatus"]).groups("o_orderkey"))
 query("groupby_fillna", "SELECT event_id, coalesce(CASE WHEN value >= 30 THEN value END, -1.0) AS v FROM events", lambda t: GroupBy(t.events.withColumn("v", F.when(C("value") >= 30, C("value"))), ["user_id"]).fillna("v", -1.0).select("event_id", "v"))
 query("groupby_missing_keys", "SELECT k, count(*) AS size FROM (SELECT CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 END AS k FROM orders) GROUP BY 1", lambda t: GroupBy(t.orders.select(F.when(C("o_custkey") % 3 > 0, C("o_custkey") % 3).alias("k")), ["k"], dropna=False).size())

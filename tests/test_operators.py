@@ -231,3 +231,21 @@ def test_offsets(spark):
             assert pd.Timestamp(r[k]) == pd.Timestamp(r.d) + o, (k, r.d)
     got = spark.createDataFrame([("1 days 00:00:10",), ("02:00:00",), ("-1 days",), ("x",), ("",), (None,)], "t string").select(datetimes.to_timedelta(F.col("t")).alias("s"))
     assert [r.s for r in got.collect()] == [86410, 7200, -86400, None, None, None]
+
+
+def test_correlation_where_a_side_does_not_vary(spark):
+    rows = [(i, "ab"[i > 4], 5.0 if i < 3 else None if i == 3 else float(i * i % 7), i) for i in range(9)]
+    df = spark.createDataFrame(rows, "i int, g string, v double, w int")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (i INT, g TEXT, v DOUBLE, w INT)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    same = lambda got, want: np.allclose(np.array(got, float), np.array(want, float), equal_nan=True)
+    want = [r[0] for r in c.execute("SELECT corr(v, w) OVER (PARTITION BY g ORDER BY i ROWS 2 PRECEDING) FROM t ORDER BY i").fetchall()]
+    for by in (["g"], []):
+        got = col(windows.rolling(df.where("g = 'a'") if not by else df, "v", 3, "corr", ["i"], by, min_periods=0, other="w", name="x"), "x")
+        assert same(got, want[: len(got)])
+    flat = df.withColumn("v", F.lit(1.0))
+    assert np.isnan(aggregate.GroupBy(flat, ["g"]).corr("v", "w").first()["corr"])
+    assert {r.x + r.y: bool(np.isnan(r.value)) for r in aggregate.pairwise(flat, ["v", "w"]).collect()} == {"vv": True, "vw": True, "wv": True, "ww": False}
+    assert np.isnan(aggregate.corrwith(flat, df, ["i"], ["v"]).first()["corr"])
+    assert aggregate.GroupBy(df.where("v is null"), ["g"]).corr("v", "w").first()["corr"] is None
