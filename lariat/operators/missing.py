@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lariat.operators.order import around, keys, numbered
+from lariat.operators.order import around
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -33,17 +33,13 @@ def isna(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def interpolate(df: DataFrame, col: str, order: Sequence[str], by: Sequence[str] = (), at: str | None = None, name: str | None = None) -> DataFrame:
     """Nulls between values on the line between them, by row number or by a column `at`; after the last value it stays, before the first they stay null."""
-    x = F.col(at).cast("double") if at else F.col("__x").cast("double")
-    rows = df.withColumn("__known", F.when(F.col(col).isNotNull(), F.struct(*([F.col(at).cast("double").alias("x")] if at else []), F.col(col).cast("double").alias("y"))))
-    if not at:  # the number of a known value's row is known only when rows are numbered
-        rows = numbered(rows, order, "__x") if not by else rows.withColumn("__x", F.row_number().over(Window.partitionBy(*by).orderBy(*keys(order))) - 1)
-        rows = rows.withColumn("__known", F.when(F.col(col).isNotNull(), F.struct(F.col("__x").cast("double").alias("x"), F.col("__known.y").alias("y"))))
-        order = ["__x"]
-    rows = around(rows, "__known", order, by, "__row")
+    x = F.col(at or "__row").cast("double")
+    known = F.when(F.col(col).isNotNull(), F.struct(x.alias("x"), F.col(col).cast("double").alias("y")))
+    rows = around(df, known, order, by, "__row")
     a, b = F.col("__before"), F.col("__after")
     line = a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
     value = F.when(F.col(col).isNotNull(), F.col(col).cast("double")).when(a.isNull(), None).when(b.isNull(), a["y"]).otherwise(line)
-    return rows.withColumn(name or col, value).drop("__x", "__known", "__before", "__after", "__row")
+    return rows.withColumn(name or col, value).drop("__before", "__after", "__row")
 
 
 def replace_map(c: Column, values: dict) -> Column:

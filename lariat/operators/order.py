@@ -165,19 +165,28 @@ def decayed(rows: DataFrame, made: dict[str, Column], keep: float, at: str, by:
     return out.drop(BLOCK, *(f"__c_{n}" for n in made))
 
 
-def around(df: DataFrame, known: str, order: Sequence[str | Column], by: Sequence[str] = (), at: str = POS, size: int = SIZE) -> DataFrame:
-    """df with `at`, its row numbers from 0 (in each group), and __before and __after: the last known value up to a row and the next from it on."""
-    ahead, behind = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
-    pick = {"__before": (F.last, ahead), "__after": (F.first, behind)}
+def around(df: DataFrame, known: Column, order: Sequence[str | Column], by: Sequence[str] = (), at: str = POS, size: int = SIZE) -> DataFrame:
+    """df with `at`, its row numbers from 0 (in each group), and __before and __after: the last known value up to a row and the next from it on.
+
+    known: a value that may use `at`; null where none is known. The next one is the last on the way
+    back: a frame from a row to the end is read again for each row.
+    """
+    held, upto = "__held", (Window.unboundedPreceding, 0)
     if by:
-        w = Window.partitionBy(*by).orderBy(*keys(order))
-        rows = df.withColumn(at, (F.row_number().over(w) - 1).cast("bigint"))
-        return rows.withColumns({n: f(known, ignorenulls=True).over(w.rowsBetween(*frame)) for n, (f, frame) in pick.items()})
-    rows = numbered(df, order, at).withColumn(BLOCK, F.floor(F.col(at) / size).cast("bigint"))
-    w = Window.partitionBy(BLOCK).orderBy(at)
-    rows = rows.withColumns({n: f(known, ignorenulls=True).over(w.rowsBetween(*frame)) for n, (f, frame) in pick.items()})
-    ends = rows.groupBy(BLOCK).agg(F.max_by(known, F.when(F.col(known).isNotNull(), F.col(at))).alias("__l"), F.min_by(known, F.when(F.col(known).isNotNull(), F.col(at))).alias("__f"))
-    over_blocks = Window.orderBy(BLOCK)  # a row for each SIZE rows
-    ends = ends.select(BLOCK, F.last("__l", ignorenulls=True).over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("__l"), F.first("__f", ignorenulls=True).over(over_blocks.rowsBetween(1, Window.unboundedFollowing)).alias("__f"))
+        rows = df.withColumn(at, (F.row_number().over(Window.partitionBy(*by).orderBy(*keys(order))) - 1).cast("bigint"))
+        group = Window.partitionBy(*by)
+    else:
+        rows = numbered(df, order, at).withColumn(BLOCK, F.floor(F.col(at) / size).cast("bigint"))
+        group = Window.partitionBy(BLOCK)
+    rows = rows.withColumn(held, known)
+    ways = {"__before": F.col(at).asc(), "__after": F.col(at).desc()}
+    for n, way in ways.items():
+        rows = rows.withColumn(n, F.last(held, ignorenulls=True).over(group.orderBy(way).rowsBetween(*upto)))
+    if by:
+        return rows.drop(held)
+    place = F.when(F.col(held).isNotNull(), F.col(at))
+    ends = rows.groupBy(BLOCK).agg(F.max_by(held, place).alias("__l"), F.min_by(held, place).alias("__f"))
+    over_blocks = {n: Window.orderBy(way).rowsBetween(Window.unboundedPreceding, -1) for n, way in (("__l", F.col(BLOCK).asc()), ("__f", F.col(BLOCK).desc()))}  # a row for each SIZE rows
+    ends = ends.select(BLOCK, *(F.last(n, ignorenulls=True).over(w).alias(n) for n, w in over_blocks.items()))
     out = rows.join(F.broadcast(ends), BLOCK)
-    return out.withColumns({"__before": F.coalesce("__before", "__l"), "__after": F.coalesce("__after", "__f")}).drop(BLOCK, "__l", "__f")
+    return out.withColumns({"__before": F.coalesce("__before", "__l"), "__after": F.coalesce("__after", "__f")}).drop(BLOCK, held, "__l", "__f")

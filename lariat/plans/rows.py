@@ -72,7 +72,7 @@ query("ewm_mean_recursive", f"{_E} SELECT a.event_id, round(sum(b.v * power(0.5,
 query("ewm_var", f"{_E}, p AS (SELECT a.event_id, b.v, power(0.5, a.i - b.i) AS w FROM e a JOIN e b ON b.i <= a.i AND b.i > a.i - 60), m AS (SELECT event_id, sum(v * w) / sum(w) AS m FROM p GROUP BY 1) SELECT event_id, CASE WHEN count(*) > 1 THEN round(sum(w * (v - m) * (v - m)) * sum(w) / nullif(sum(w) * sum(w) - sum(w * w), 0), 2) END AS x FROM p JOIN m USING (event_id) GROUP BY 1",
       lambda t: windows.ewm(t.events, "value", 0.5, "var", O, name="x").select("event_id", F.round("x", 2).alias("x")))
 query("interpolate", f"WITH e AS (SELECT event_id, ts, v, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM {_NULL}), k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM e) SELECT k.event_id, round(CASE WHEN k.v IS NOT NULL THEN k.v WHEN x.v IS NULL THEN NULL WHEN y.v IS NULL THEN x.v ELSE x.v + (y.v - x.v) * (k.i - k.a) / (k.b - k.a) END, 4) AS v FROM k LEFT JOIN e x ON x.i = k.a LEFT JOIN e y ON y.i = k.b",
-      lambda t: missing.interpolate(_v(t), "v", O).select("event_id", F.round("v", 4).alias("v")))
+      lambda t: missing.interpolate(_v(t), "v", O).select("event_id", (F.round(F.col("v") * 10000) / 10000).alias("v")))  # fmt: skip  halves as SQL rounds them
 for _n, _rule, _sql in (("5min", "5 minutes", "time_bucket(INTERVAL '5 minutes', ts)"), ("hour", "hour", "date_trunc('hour', ts)"), ("day", "day", "date_trunc('day', ts)::TIMESTAMP"), ("week", "week", "date_trunc('week', ts)::TIMESTAMP"), ("month", "month", "date_trunc('month', ts)::TIMESTAMP")):
     query(f"resample_{_n}", f"SELECT {_sql} AS bucket, count(*) AS n, round(avg(value), 4) AS m FROM events GROUP BY 1", lambda t, r=_rule: datetimes.resample(t.events, "ts", r, {"n": F.count("*"), "m": F.round(F.avg("value"), 4)}))
 query("groupby_resample", "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS bucket, round(sum(value), 4) AS s FROM events GROUP BY ALL", lambda t: datetimes.resample(t.events, "ts", "day", {"s": F.round(F.sum("value"), 4)}, ["event_type"]))
