@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lariat.operators.order import keys, running, turned
+from lariat.operators.order import cut, keys, running, turned
 
 _NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _KINDS = {"number": _NUMBER, "integer": _NUMBER[:4], "float": _NUMBER[4:], "object": ("string",), "string": ("string",), "bool": ("boolean",), "datetime": ("timestamp", "timestamp_ntz", "date")}
@@ -81,6 +81,51 @@ def where(df: DataFrame, cols: Sequence[str], condition: Column, other: object =
     return df.withColumns({c: F.when(condition, F.col(c)).otherwise(other if isinstance(other, Column) else F.lit(other)) for c in cols})
 
 
+#: Pairs of a key's rows that may be made in one place; rows of a side that meet at once for keys with more; the most tasks for these.
+PAIRS, PIECE, TASKS = 250_000, 2_000, 4_096
+
+
+def _crowded(l: DataFrame, r: DataFrame, lk: list[str], rk: list[str]) -> DataFrame | None:
+    """The keys that make more than PAIRS pairs, as l_0.. and r_0.., with __a and __b, how many pieces either side has, and __first, the number of their first pair of pieces."""
+    whole, kinds = _NUMBER[:4], (dict(l.dtypes), dict(r.dtypes))
+    if any(kinds[0][a] != kinds[1][b] and not (kinds[0][a] in whole and kinds[1][b] in whole) for a, b in zip(lk, rk, strict=True)):
+        return None  # different keys may be equal once converted
+    x = l.groupBy(*(F.col(c).alias(f"l_{i}") for i, c in enumerate(lk))).agg(F.count("*").alias("__a"))
+    y = r.groupBy(*(F.col(c).alias(f"r_{i}") for i, c in enumerate(rk))).agg(F.count("*").alias("__b"))
+    met = x.join(y, _equal(x, [f"l_{i}" for i in range(len(lk))], y, [f"r_{i}" for i in range(len(rk))])).where(F.col("__a").cast("double") * F.col("__b") > PAIRS)
+    met = met.withColumns({n: F.ceil(F.col(n) / PIECE) for n in ("__a", "__b")})
+    before = Window.orderBy(*(f"l_{i}" for i in range(len(lk)))).rowsBetween(Window.unboundedPreceding, -1)  # a row for each crowded key, of which there are few
+    return cut(met.withColumn("__first", F.coalesce(F.sum(F.col("__a") * F.col("__b")).over(before), F.lit(0))))
+
+
+def _equal(a: DataFrame, ka: Sequence[str], b: DataFrame, kb: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [a[x] == b[y] for x, y in zip(ka, kb, strict=True)])
+
+
+def _paired(l: DataFrame, r: DataFrame, lk: list[str], rk: list[str], how: str) -> DataFrame:
+    """The join of l and r, without a task that makes all pairs of a key that many rows of both have.
+
+    The rows of such a key are dealt into pieces by a hash, and each piece of one side meets each of
+    the other as a group of its own. All these rows have a partner, so they are joined inner, however
+    the hash falls; the other rows are joined as usual. A full join would also hold a key's pairs at once.
+    """
+    crowded = None if l.isStreaming or r.isStreaming else _crowded(l, r, lk, rk)
+    pieces = 0 if crowded is None else crowded.agg(F.sum(F.col("__a") * F.col("__b"))).first()[0]
+    if not pieces:
+        return l.join(r, _equal(l, lk, r, rk), how)
+    sides, rest, tasks = [], [], min(TASKS, pieces)
+    for side, ks, mark, own, other in ((l, lk, "l_", "__a", "__b"), (r, rk, "r_", "__b", "__a")):
+        hot = F.broadcast(crowded.select(*(F.col(f"{mark}{i}").alias(f"__k{i}") for i in range(len(ks))), "__a", "__b", "__first"))
+        on = _equal(side, ks, hot, [f"__k{i}" for i in range(len(ks))])
+        piece = F.pmod(F.xxhash64(*(c for c, t in side.dtypes if "map<" not in t and "variant" not in t)), F.col(own))
+        rows = side.join(hot, on).withColumn("__i", piece).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+        place = F.col("__first") + (F.col("__i") * F.col("__b") + F.col("__j") if own == "__a" else F.col("__j") * F.col("__b") + F.col("__i"))
+        sides.append(rows.select(*side.columns, place.alias(f"__p{own}")).repartition(tasks, f"__p{own}"))  # by number, so that they are not put together for their few bytes
+        rest.append(side.join(hot, on, "left_anti"))
+    dense = sides[0].hint("merge").join(sides[1], F.col("__p__a") == F.col("__p__b")).drop("__p__a", "__p__b")
+    return dense.unionByName(rest[0].join(rest[1], _equal(rest[0], lk, rest[1], rk), how))
+
+
 def merge(
     left: DataFrame, right: DataFrame, on: Sequence[str] = (), how: str = "inner", left_on: Sequence[str] = (), right_on: Sequence[str] = (), suffixes: tuple[str, str] = ("_x", "_y"),
     indicator: bool = False, validate: str | None = None,
@@ -105,7 +150,7 @@ def merge(
     if how == "cross":
         out = l.crossJoin(r)
     else:
-        out = l.join(r, reduce(Column.__and__, [l[f"l_{a}"] == r[f"r_{b}"] for a, b in zip(lk, rk, strict=True)]), {"outer": "full"}.get(how, how))
+        out = _paired(l, r, [f"l_{c}" for c in lk], [f"r_{c}" for c in rk], {"outer": "full"}.get(how, how))
     cols = [F.coalesce(f"l_{c}", f"r_{c}").alias(c) if c in on else F.col(f"l_{c}").alias(c + suffixes[0] if c in common else c) for c in left.columns]
     cols += [F.col(f"r_{c}").alias(c + suffixes[1] if c in common else c) for c in right.columns if c not in on]
     if indicator:

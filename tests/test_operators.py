@@ -259,3 +259,24 @@ def test_interpolation_reads_no_frame_again_for_each_row(spark):
         got = missing.interpolate(rows, "v", ["i"], by)
         assert got.where("v <> least(i, 299997) * 2.0 or v is null").count() == 0
         assert time.monotonic() - began < 40  # frames read again took over 100 s for 100,000 rows
+
+
+@pytest.mark.parametrize("how", ["outer"])
+def test_merge_deals_out_the_pairs_of_a_crowded_key(spark, monkeypatch, how):
+    monkeypatch.setattr(relational, "PAIRS", 100, raising=False)
+    monkeypatch.setattr(relational, "PIECE", 10, raising=False)
+    left = [(i, "crowded" if i < 100 else None if i % 5 == 0 else "many" if i % 5 == 1 else f"l{i % 9}", i % 3) for i in range(200)]
+    right = [(i, "crowded" if i < 120 else None if i % 5 == 0 else "many" if i % 5 == 1 else f"l{i % 7}", i % 3) for i in range(220)] + [(7, "crowded", 0)] * 30
+    a, b = spark.createDataFrame(left, "x int, k string, m int"), spark.createDataFrame(right, "y int, j string, n bigint")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE a (x INT, k TEXT, m INT)")
+    c.execute("CREATE TABLE b (y INT, j TEXT, n BIGINT)")
+    c.executemany("INSERT INTO a VALUES (?, ?, ?)", left)
+    c.executemany("INSERT INTO b VALUES (?, ?, ?)", right)
+    for lk, rk in ((["k"], ["j"]), (["k", "m"], ["j", "n"])):
+        got = relational.merge(a, b, how=how, left_on=lk, right_on=rk)
+        on = " AND ".join(f"a.{x} = b.{y}" for x, y in zip(lk, rk, strict=True))
+        want = c.execute(f"SELECT * FROM a {'FULL' if how == 'outer' else how} JOIN b ON {on}").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        tasks = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(tasks) < len(want) / 5
