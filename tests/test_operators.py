@@ -261,7 +261,7 @@ def test_interpolation_reads_no_frame_again_for_each_row(spark):
         assert time.monotonic() - began < 40  # frames read again took over 100 s for 100,000 rows
 
 
-@pytest.mark.parametrize("how", ["outer", "left"])
+@pytest.mark.parametrize("how", ["outer", "left", "right", "inner"])
 def test_merge_deals_out_the_pairs_of_a_crowded_key(spark, monkeypatch, how):
     monkeypatch.setattr(relational, "PAIRS", 100, raising=False)
     monkeypatch.setattr(relational, "PIECE", 10, raising=False)
