@@ -6,6 +6,7 @@ import functools
 import math
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,6 +190,35 @@ def dot(left: DataFrame, right: DataFrame, on: str, col: str, cols: Sequence[str
     return left.join(r, F.col(on) == F.col("__k")).agg(*(F.sum(F.col(col) * F.col(f"__r_{c}")).alias(c) for c in cols))
 
 
+def _whole_groups(function: Callable, by: Sequence[str]) -> Callable:
+    """The function over batches of rows sorted by keys, of which each frame gets whole groups; the last group of a batch waits for the next."""
+
+    def tail(batch):
+        """Rows before the first one that has the last row's keys."""
+        same = True
+        for c in by:
+            key = batch[c].iloc[-1]
+            same &= batch[c].isna() if pd.isna(key) else batch[c] == key
+        return len(batch) - int(same.sum())
+
+    def over(batches):
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held and tail(pd.concat([held[-1].tail(1), batch.head(1)])):
+                yield function(pd.concat(held))
+                held = []
+            if n := tail(batch):
+                yield function(pd.concat([*held, batch.head(n)]))
+                held = []
+            held.append(batch.iloc[n:])
+        if held:
+            yield function(pd.concat(held))
+
+    return over
+
+
 class GroupBy:
     """Groups of the rows of a frame by keys; rows with a missing key belong to none.
 
@@ -301,9 +331,15 @@ class GroupBy:
         made = (self.size().withColumnRenamed("size", "__v") if kind == "size" else self.reduce(kind, col).withColumnRenamed(f"{col}_{kind}", "__v")).where(test(F.col("__v"))).select(*self.by)
         return self._joined(made, "left_semi")
 
-    def apply(self, function: Callable, schema: str) -> DataFrame:
-        """A function of each group as a pandas frame; a group must fit into a task."""
-        return self.df.groupBy(*self.by).applyInPandas(function, schema)
+    def apply(self, function: Callable, schema: str, many: bool = False) -> DataFrame:
+        """A function of each group as a pandas frame; a group must fit into a task.
+
+        many: of frames that hold several whole groups, for functions that tell these apart
+        themselves; a call for each group takes milliseconds.
+        """
+        if not many:
+            return self.df.groupBy(*self.by).applyInPandas(function, schema)
+        return self.df.repartition(*self.by).sortWithinPartitions(*self.by).mapInPandas(_whole_groups(function, self.by), schema)
 
     def shift(self, col: str, n: int = 1, name: str | None = None) -> DataFrame:
         return windows.shift(self.df, col, n, self.order, self.by, name=name)

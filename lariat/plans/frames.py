@@ -134,10 +134,11 @@ query("groupby_transform", "SELECT o_orderkey, round(o_totalprice - avg(o_totalp
 
 
 def _spread(x):
-    return x.groupby("o_custkey", as_index=False).agg(spread=("o_totalprice", lambda v: round(float(v.max() - v.min()), 4)))
+    v = x.groupby("o_custkey")["o_totalprice"]
+    return (v.max() - v.min()).map(lambda d: round(float(d), 4)).rename("spread").reset_index()
 
 
-query("groupby_apply", "SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 4) AS spread FROM orders GROUP BY 1", lambda t: _g(t).apply(_spread, "o_custkey bigint, spread double"))
+query("groupby_apply", "SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 4) AS spread FROM orders GROUP BY 1", lambda t: GroupBy(t.orders.select("o_custkey", "o_totalprice"), ["o_custkey"]).apply(_spread, "o_custkey bigint, spread double", many=True))
 
 _LO = "ORDER BY " + ", ".join(L)
 query("sort_values", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey DESC", lambda t: relational.sort_values(t.orders, ["o_custkey", "-o_orderkey"]).select("o_orderkey", "o_custkey"))

@@ -280,3 +280,23 @@ def test_merge_deals_out_the_pairs_of_a_crowded_key(spark, monkeypatch, how):
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
         tasks = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert max(tasks) < len(want) / 5
+
+
+def test_apply_to_frames_of_whole_groups(spark):
+    rows = [(k, m, i) for k, (m, n) in enumerate([("a", 1), ("a", 7), ("b", 14), (None, 7), ("c", 30), ("c", 3), ("d", 2), ("d", 1)] * 3) for i in range(n)]
+    df = spark.createDataFrame([(k if k % 8 != 3 else None, m, i) for k, m, i in rows], "k int, m string, i int")
+
+    def sums(x):
+        out = x.groupby(["k", "m"], dropna=False, as_index=False).agg(s=("i", "sum"), n=("i", "size"))
+        return out.assign(calls=[1] + [0] * (len(out) - 1))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = aggregate.GroupBy(df.coalesce(1), ["k", "m"], dropna=False).apply(sums, "k int, m string, s long, n long, calls int", many=True).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = df.groupBy("k", "m").agg(F.sum("i").alias("s"), F.count("*").alias("n")).toPandas()
+    plain = lambda f: sorted((repr(None if pd.isna(r.k) else int(r.k)), repr(r.m), r.s, r.n) for r in f.itertuples())
+    assert plain(got) == plain(want)
+    few = aggregate.GroupBy(df, ["k", "m"], dropna=False).apply(sums, "k int, m string, s long, n long, calls int", many=True).toPandas()
+    assert plain(few) == plain(want) and few.calls.sum() < len(want)
